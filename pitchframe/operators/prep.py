@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import sqrt
 
 from pyspark.ml.feature import (
     OneHotEncoder,
@@ -11,6 +12,7 @@ from pyspark.ml.feature import (
     StringIndexerModel,
     VectorAssembler,
 )
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,11 +75,7 @@ class MatchPreprocessor:
     def fit(self, train: DataFrame) -> MatchPreprocessor:
         self.numbers = self.number_columns(train)
         if self.numbers:
-            stats = train.agg(
-                *[F.avg(c).alias(f"mean_{c}") for c in self.numbers],
-                *[F.stddev_pop(c).alias(f"std_{c}") for c in self.numbers],
-            ).first()
-            self.scaling = {c: (stats[f"mean_{c}"], stats[f"std_{c}"] or 1.0) for c in self.numbers}
+            self.scaling = self._moments(train)
         if self.categories:
             codes = [f"code_{c}" for c in self.categories]
             self.indexer = StringIndexer(
@@ -90,6 +88,16 @@ class MatchPreprocessor:
             self.encoder = encoder.fit(self.indexer.transform(train.limit(0)))
         return self
 
+    def _moments(self, train: DataFrame) -> dict[str, tuple[float, float]]:
+        """Mean and population deviation per number column, as one vector aggregate."""
+        metrics = Summarizer.metrics("mean", "variance", "count").summary(F.col("numbers"))
+        vectors = VectorAssembler(inputCols=self.numbers, outputCol="numbers").transform(train)
+        found = vectors.select(metrics.alias("m")).select("m.*").first()
+        rows = found["count"]
+        # The summarizer's variance divides by rows - 1.
+        spread = [sqrt(v * (rows - 1) / rows) if rows > 1 else 0.0 for v in found["variance"]]
+        return {c: (float(m), s or 1.0) for c, m, s in zip(self.numbers, found["mean"], spread)}
+
     def scaled(self, df: DataFrame) -> DataFrame:
         """The number columns scaled in place."""
         return df.withColumns(

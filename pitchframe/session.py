@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,21 +22,29 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that every executor can reach."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="pitchframe-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def settle(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Cut the lineage of a frame that is read many times (model training).
+    """Write a frame that is read many times (model training) and return it re-read.
 
-    The rows are spread evenly by ``keys``, which must be close to unique, and
-    checkpointed to the shared folder in ``spark.checkpoint.dir``, so a lost
-    executor costs a re-read and not a recomputation.
+    The rows are spread evenly by ``keys``, which must be close to unique, and land as
+    Parquet in the shared folder, so later reads prune columns and a lost executor
+    costs a re-read and not a recomputation.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="pitchframe-")
-        context.setCheckpointDir(folder)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), context.defaultParallelism)
-    return df.repartition(parts, *keys).checkpoint()
+    parts = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
+    path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.repartition(parts, *keys).write.parquet(path)
+    return spark.read.parquet(path)

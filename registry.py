@@ -29,8 +29,8 @@ from pitchframe.plans.dataset import exploratory_dataset, match_dataset
 from pitchframe.plans.evaluation import (
     feature_importance,
     holdout_report,
+    ranked_ends,
     settled_dataset,
-    top_features,
     walk_forward_report,
 )
 from pitchframe.sources.derived import derived_elo, derived_matches
@@ -161,8 +161,7 @@ QUERIES: dict[str, Query] = {
     "class_weights": over_matches(lambda m: class_weights(m, "FTR")),
     "majority_baseline_report": over_matches(lambda m: classification_report(majority(m), ["fold"])),
     "majority_baseline_accuracy": over_matches(lambda m: accuracy(majority(m), ["fold"])),
-    "feature_importance_top10": over_dataset(lambda d: top_features(feature_importance(d))),
-    "feature_importance_bottom10": over_dataset(lambda d: top_features(feature_importance(d), least=True)),
+    "feature_importance_top10": over_dataset(lambda d: ranked_ends(feature_importance(d))),
     "walk_forward_lr": over_dataset(lambda d: walk_forward_report(d, lambda n, k: logistic_regression(n))),
     "walk_forward_rf": over_dataset(lambda d: walk_forward_report(d, lambda n, k: random_forest())),
     "holdout_lr": over_dataset(lambda d: holdout_report(d, lambda n, k: logistic_regression(n))),

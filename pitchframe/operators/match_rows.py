@@ -48,7 +48,8 @@ def to_match_rows(
         packed = F.struct(*[F.col(c) for c in columns])
         return F.first(F.when(F.col("Venue") == venue, packed), ignorenulls=True).alias(venue)
 
-    sides = team_rows.groupBy(*MATCH_KEY).agg(*[side(venue) for venue in SIDES])
+    # A match has two rows, so combining before the shuffle would only sort them once more.
+    sides = team_rows.repartition(*MATCH_KEY).groupBy(*MATCH_KEY).agg(*[side(venue) for venue in SIDES])
     wide = [c for venue, (prefix, _) in SIDES.items() for c in _prefixed(venue, columns, prefix)]
     return matches.select(*base).join(sides, MATCH_KEY, "left").select(*base, *wide)
 

@@ -161,7 +161,7 @@ def _replay(min_played: int, default_position: int) -> Callable[[pa.Table, pa.Ta
                 )
 
         home_pos, away_pos = (np.concatenate(side) for side in zip(*positions()))
-        keys = matches.select([*MATCH_KEY, "match_no", "league_matches"])
+        keys = matches.select(MATCH_KEY)
         return keys.append_column("HomeTablePos", pa.array(home_pos, pa.int32())).append_column(
             "AwayTablePos", pa.array(away_pos, pa.int32())
         )
@@ -190,21 +190,24 @@ def add_table_positions(
     schema = ", ".join(
         f"{name} {type_}"
         for name, type_ in [
-            *[(k, types[k]) for k in (*MATCH_KEY, "match_no", "league_matches")],
+            *[(k, types[k]) for k in MATCH_KEY],
             ("HomeTablePos", "int"),
             ("AwayTablePos", "int"),
         ]
     )
     opening = opening_tables(numbered).withColumnsRenamed({k: f"at_{k}" for k in chunk_key})
     positions = (
-        numbered.drop("Date", "Time", "last_chunk")
+        numbered.drop("Date", "Time", "last_chunk", "league_matches")
         .groupBy(*chunk_key)
         .cogroup(opening.groupBy(*[f"at_{k}" for k in chunk_key]))
         .applyInArrow(_replay(min_played, default_position), schema)
     )
+    # The numbers come by their own join, so that a filter on them skips the replay.
+    numbers = numbered.select(*MATCH_KEY, "match_no", "league_matches")
     stale = [c for c in (*POSITION_COLUMNS, "match_no", "league_matches") if c in matches.columns]
     return (
         matches.drop(*stale)
+        .join(numbers, MATCH_KEY)
         .join(positions, MATCH_KEY, "left")
         .withColumn("TablePosDiff", F.col("AwayTablePos") - F.col("HomeTablePos"))
     )

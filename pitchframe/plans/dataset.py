@@ -13,8 +13,8 @@ from pitchframe.operators.team_rows import to_team_rows
 
 def match_dataset(matches: DataFrame) -> DataFrame:
     """Standings, team rows, form and back: one row per match with 138 features."""
-    placed = add_table_positions(matches)
-    return to_match_rows(add_rolling_features(to_team_rows(placed)), placed)
+    rows = to_team_rows(add_table_positions(matches))
+    return to_match_rows(add_rolling_features(rows), matches)
 
 
 def exploratory_dataset(matches: DataFrame) -> DataFrame:

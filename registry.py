@@ -50,7 +50,7 @@ def portable(df: DataFrame) -> DataFrame:
 
 
 def over_matches(run: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: portable(run(derived_matches(spark, sf_dir)))
+    return lambda spark, sf_dir: run(derived_matches(spark, sf_dir))
 
 
 def over_dataset(run: Callable[[DataFrame], DataFrame]) -> Query:
@@ -130,7 +130,7 @@ def split_rows(matches: DataFrame) -> DataFrame:
 
 ALL_MEASURES = [*FORM_MEASURES, *OUTCOME_MEASURES]
 
-QUERIES: dict[str, Query] = {
+PLAIN: dict[str, Query] = {
     "derived_matches": over_matches(lambda m: m),
     "derived_elo": over_matches(derived_elo),
     "goal_histogram": over_matches(summaries.goal_histogram),
@@ -170,5 +170,12 @@ QUERIES: dict[str, Query] = {
 }
 
 
+def comparable(run: Query) -> Query:
+    return lambda spark, sf_dir: portable(run(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {name: comparable(run) for name, run in PLAIN.items()}
+
+
 def oracle_sql() -> dict[str, str]:
     return oracle.statements()

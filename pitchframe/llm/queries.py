@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pitchframe.llm import sql
 from pitchframe.llm.common import table
 from pitchframe.llm.exact_dedup import exact_dedup
+from pitchframe.llm.mixing import mix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +18,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_mixing": op4_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = sql.STATEMENTS

@@ -11,3 +11,50 @@ g AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
 FROM d JOIN g USING (text_sha256)
 """
+
+STATEMENTS["op4_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         (CAST('0x' || substr(md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5)
+           / CAST(4503599627370496 AS DOUBLE) AS u
+  FROM documents),
+s AS (
+  SELECT source, CAST(SUM(size) AS BIGINT) AS source_size,
+         row_number() OVER (ORDER BY source NULLS LAST) AS source_no
+  FROM d GROUP BY source),
+w AS (
+  SELECT *, CAST(CASE (source_no - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight,
+         CAST(source_size AS DOUBLE) * 2 AS most
+  FROM s),
+l AS (
+  SELECT *, most / weight AS fills_at,
+         (1.5::DOUBLE * SUM(source_size) OVER () - coalesce(SUM(most) OVER b, 0))
+           / (SUM(weight) OVER () - coalesce(SUM(weight) OVER b, 0)) AS level
+  FROM w WINDOW b AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT first(level ORDER BY fills_at, source NULLS LAST) AS level FROM l WHERE level < fills_at),
+t AS (
+  SELECT source, source_no, source_size, least(most, coalesce((SELECT level FROM o) * weight, most)) AS target FROM l),
+r AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE target / CAST(source_size AS DOUBLE) END AS rate FROM t),
+n AS (
+  SELECT *, floor(rate) AS whole, rate - floor(rate) AS p, target - floor(rate) * source_size AS need FROM r),
+x AS (
+  SELECT d.doc_id, d.size, n.source_no, n.source_size, n.target, n.whole, n.need,
+         CASE WHEN n.p > 0 AND d.size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q
+  FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source),
+f AS (
+  SELECT *, coalesce(SUM(size) OVER (PARTITION BY source_no ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) <= need, false) AS taken1
+  FROM x WHERE q IS NOT NULL),
+g AS (
+  SELECT *, need - coalesce(SUM(CASE WHEN taken1 THEN size END) OVER (PARTITION BY source_no), 0) AS gap FROM f),
+h AS (
+  SELECT doc_id FROM (
+    SELECT doc_id, size, gap,
+           SUM(size) OVER (PARTITION BY source_no ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) AS upto
+    FROM g WHERE NOT taken1 AND size <= gap) y
+  WHERE upto - size * 0.5::DOUBLE <= gap),
+e AS (SELECT doc_id FROM f WHERE taken1 UNION ALL SELECT doc_id FROM h)
+SELECT x.doc_id, x.size, x.source_size, x.target,
+       CAST(x.size * (x.whole + CASE WHEN e.doc_id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS taken
+FROM x LEFT JOIN e ON x.doc_id = e.doc_id
+"""

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pitchframe.llm import sql
 from pitchframe.llm.common import table
 from pitchframe.llm.exact_dedup import exact_dedup
 from pitchframe.llm.mixing import mix
+from pitchframe.llm.secret_scan import BASE_RULES, find_secrets, span_list
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,9 +24,26 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind_no"] < len(BASE_RULES))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(rule.kind) for rule in BASE_RULES],
+        F.sha2(span_list(base), 256).alias("base_sha256"),
+        span_list(spans).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_mixing": op4_mixing,
+    "op6_secret_scan": op6_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = sql.STATEMENTS

@@ -58,3 +58,48 @@ SELECT x.doc_id, x.size, x.source_size, x.target,
        CAST(x.size * (x.whole + CASE WHEN e.doc_id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS taken
 FROM x LEFT JOIN e ON x.doc_id = e.doc_id
 """
+
+# (kind, pattern in RE2's syntax, group, least characters of the group)
+SECRET_KINDS = [
+    (
+        "assign",
+        r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"""
+        r"""|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        2,
+        12,
+    ),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18),
+    ("hex", r"[0-9a-f]+", 0, 16),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+]
+
+
+def _secret_kind(number: int, kind: str, pattern: str, group: int, least: int) -> str:
+    return f"""
+  SELECT doc_id, {number} AS kind_no, '{kind}' AS kind, ends - length(m) AS start, ends AS "end"
+  FROM (
+    SELECT doc_id, m, regexp_extract(m, '{pattern}', {group}) AS part,
+           SUM(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY place) AS ends
+    FROM (
+      SELECT doc_id, unnest(found) AS m, unnest(gaps[1:len(found)]) AS gap, generate_subscripts(found, 1) AS place
+      FROM (
+        SELECT doc_id, regexp_extract_all(t, '{pattern}') AS found, string_split_regex(t, '{pattern}') AS gaps
+        FROM d WHERE regexp_matches(t, '{pattern}')) x) y) z
+  WHERE length(part) >= {least}"""
+
+
+STATEMENTS["op6_secret_scan"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(_secret_kind(n, *kind) for n, kind in enumerate(SECRET_KINDS))}),
+j AS (
+  SELECT doc_id, COUNT(*) FILTER (kind_no = 0) AS n_assign, COUNT(*) FILTER (kind_no = 1) AS n_access,
+         COUNT(*) FILTER (kind_no = 2) AS n_hex,
+         string_agg(CASE WHEN kind_no < 3 THEN kind || ':' || start || ':' || "end" END, ',' ORDER BY start, kind_no) AS base,
+         string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, kind_no) AS spans
+  FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j USING (doc_id)
+"""

@@ -12,6 +12,15 @@ from pitchframe.llm.common import table
 from pitchframe.llm.exact_dedup import exact_dedup
 from pitchframe.llm.mixing import mix
 from pitchframe.llm.secret_scan import BASE_RULES, find_secrets, span_list
+from pitchframe.llm.url_filter import any_bad, judge_urls
+
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +33,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: the labels of the page's number; toxic or low-quality pages are bad."""
+    bad = any_bad(F.col("toxic") == 1, F.col("quality") == 0)
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     spans = F.col("spans")
@@ -43,6 +60,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_mixing": op4_mixing,
+    "op5_url_filter": op5_url_filter,
     "op6_secret_scan": op6_secret_scan,
 }
 

@@ -103,3 +103,56 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN j USING (doc_id)
 """
+
+# Method of moments at one level; t has n and k of every member.
+_STRENGTH = """(
+  SELECT CASE WHEN COUNT(*) < 2 OR between_ <= 0 OR within <= 0 THEN 1000.0::DOUBLE
+              ELSE least(1000.0::DOUBLE, greatest(1.0::DOUBLE, within / between_ - 1)) END
+  FROM (
+    SELECT *, (kk - (k / n) * k - (g - 1) * within) / (n - nn / n) AS between_
+    FROM (
+      SELECT *, (k / n) * (1 - k / n) AS within
+      FROM (
+        SELECT COUNT(*) AS g, CAST(SUM(n) AS DOUBLE) AS n, CAST(SUM(k) AS DOUBLE) AS k,
+               SUM(CAST(k * k AS DOUBLE) / n) AS kk, CAST(SUM(n * n) AS DOUBLE) AS nn
+        FROM {t} WHERE n > 0) a) b) c
+  GROUP BY between_, within, g)"""
+
+STATEMENTS["op5_url_filter"] = r"""
+WITH p AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages),
+h AS (
+  SELECT host, COUNT(bad) AS n, CAST(coalesce(SUM(bad), 0) AS BIGINT) AS k
+  FROM p LEFT JOIN (SELECT doc_id, CAST(toxic = 1 OR quality = 0 AS INT) AS bad FROM labels) l ON page_id = doc_id
+  GROUP BY host),
+hosts AS (
+  SELECT *, regexp_extract(host, '([^.]*)$', 1) AS suffix, regexp_extract(host, '((?:[^.]*[.])?[^.]*)$', 1) AS domain FROM h),
+domains AS (SELECT suffix, domain, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(k) AS BIGINT) AS k FROM hosts GROUP BY suffix, domain),
+suffixes AS (SELECT suffix, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(k) AS BIGINT) AS k FROM domains GROUP BY suffix),
+strengths AS (SELECT {suffixes} AS s1, {domains} AS s2, {hosts} AS s3),
+overall AS (SELECT CAST(SUM(k) + 1 AS DOUBLE) / (SUM(n) + 2) AS m FROM suffixes),
+m1 AS (SELECT suffix, (k + m * s1) / (n + s1) AS above FROM suffixes, overall, strengths),
+m2 AS (SELECT domain, (k + above * s2) / (n + s2) AS above FROM domains JOIN m1 USING (suffix), strengths),
+ab AS (
+  SELECT host, above * s3 + k AS a, (1 - above) * s3 + n - k AS b FROM hosts JOIN m2 USING (domain), strengths),
+r AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower_bound FROM ab),
+f AS (
+  SELECT *,
+    CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+         WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+         WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+         WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM p)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block'
+            WHEN rule IS NOT NULL THEN 'allow'
+            WHEN lower_bound > 0.3 THEN 'block' ELSE 'allow' END AS verdict
+FROM f JOIN r USING (host)
+"""
+for _name in ("suffixes", "domains", "hosts"):
+    STATEMENTS["op5_url_filter"] = STATEMENTS["op5_url_filter"].replace("{" + _name + "}", _STRENGTH.replace("{t}", _name))

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchframe.llm import sql
-from pitchframe.llm.common import table
+from pitchframe.llm.common import new_path, table
 from pitchframe.llm.exact_dedup import exact_dedup
 from pitchframe.llm.mixing import mix
 from pitchframe.llm.secret_scan import BASE_RULES, find_secrets, span_list
+from pitchframe.llm.token_files import read_token_files, write_token_files
 from pitchframe.llm.url_filter import any_bad, judge_urls
 
 URL_RULES = [
@@ -29,6 +31,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    write_token_files(table(spark, sf_dir, "documents"), path, tokenizer, end_id=2, vocabulary=50_257)
+    return read_token_files(spark, path)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -59,6 +68,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
     "op6_secret_scan": op6_secret_scan,

@@ -13,6 +13,7 @@ from pitchframe.llm.common import new_path, table
 from pitchframe.llm.exact_dedup import exact_dedup
 from pitchframe.llm.mixing import mix
 from pitchframe.llm.secret_scan import BASE_RULES, find_secrets, span_list
+from pitchframe.llm.token_counts import count_tokens
 from pitchframe.llm.token_files import read_token_files, write_token_files
 from pitchframe.llm.url_filter import any_bad, judge_urls
 
@@ -66,12 +67,17 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
     "op6_secret_scan": op6_secret_scan,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = sql.STATEMENTS

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pitchframe.llm import sql
 from pitchframe.llm.common import new_path, table
 from pitchframe.llm.exact_dedup import exact_dedup
+from pitchframe.llm.language_id import identify_languages
 from pitchframe.llm.mixing import mix
 from pitchframe.llm.secret_scan import BASE_RULES, find_secrets, span_list
 from pitchframe.llm.token_counts import count_tokens
@@ -67,6 +68,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
     "op6_secret_scan": op6_secret_scan,
+    "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
 

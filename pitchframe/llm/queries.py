@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pitchframe.llm import sql
 from pitchframe.llm.common import new_path, table
+from pitchframe.llm.decontamination import contaminated, question_and_answer
 from pitchframe.llm.exact_dedup import exact_dedup
 from pitchframe.llm.language_id import identify_languages
 from pitchframe.llm.mixing import mix
@@ -30,6 +31,18 @@ URL_RULES = [
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    question, answer = question_and_answer(F.col("text"))
+    return table(spark, sf_dir, "benchmark").select("item_id", question.alias("question"), answer.alias("answer"))
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the items."""
+    found = contaminated(table(spark, sf_dir, "documents"), benchmark_items(spark, sf_dir))
+    shares = [F.round(c, 6).alias(c) for c in ("question_overlap", "answer_overlap")]
+    return found.select("doc_id", "item_id", *shares)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -82,6 +95,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,

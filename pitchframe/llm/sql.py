@@ -156,3 +156,35 @@ FROM f JOIN r USING (host)
 """
 for _name in ("suffixes", "domains", "hosts"):
     STATEMENTS["op5_url_filter"] = STATEMENTS["op5_url_filter"].replace("{" + _name + "}", _STRENGTH.replace("{t}", _name))
+
+# A document's shingles are looked for anywhere in it; a part of less than five words must stand in it whole.
+STATEMENTS["op1_decontamination"] = r"""
+WITH cut AS (
+  SELECT item_id, text, regexp_extract(text, '(?s)^(.*[.?!])\s+[^.?!]*[.?!]?\s*$', 1) AS head FROM benchmark),
+parts AS (
+  SELECT item_id, 'q' AS part, CASE WHEN head = '' THEN text ELSE head END AS t FROM cut
+  UNION ALL
+  SELECT item_id, 'a', CASE WHEN head = '' THEN text ELSE substr(text, length(head) + 1) END FROM cut),
+words AS (SELECT item_id, part, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM parts),
+long_parts AS (
+  SELECT DISTINCT item_id, part, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5) x),
+sizes AS (SELECT item_id, part, COUNT(*) AS n FROM long_parts GROUP BY item_id, part),
+docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+doc_shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM docs WHERE len(w) >= 5) x),
+hits AS (
+  SELECT doc_id, item_id, part, COUNT(*) * 1.0::DOUBLE / n AS share
+  FROM doc_shingles JOIN long_parts USING (s) JOIN sizes USING (item_id, part)
+  GROUP BY doc_id, item_id, part, n),
+short_parts AS (SELECT item_id, part, ' ' || array_to_string(w, ' ') || ' ' AS s FROM words WHERE len(w) < 5),
+candidates AS (SELECT DISTINCT doc_id, item_id FROM hits WHERE share >= 0.8),
+short_hits AS (
+  SELECT c.doc_id, c.item_id, s.part, 1.0::DOUBLE AS share
+  FROM candidates c JOIN short_parts s USING (item_id) JOIN docs d USING (doc_id)
+  WHERE contains(' ' || array_to_string(d.w, ' ') || ' ', s.s)),
+every AS (SELECT * FROM hits WHERE share >= 0.8 UNION ALL SELECT * FROM short_hits)
+SELECT q.doc_id, q.item_id, round(q.share, 6) AS question_overlap, round(a.share, 6) AS answer_overlap
+FROM every q JOIN every a ON q.doc_id = a.doc_id AND q.item_id = a.item_id AND q.part = 'q' AND a.part = 'a'
+"""

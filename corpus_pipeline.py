@@ -1,15 +1,97 @@
-"""The text pipeline."""
+"""From raw documents to token files: language, near copies, leaks, mix, tokens.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pitchframe.llm.common import new_path, settle
+from pitchframe.llm.decontamination import contaminated
+from pitchframe.llm.language_id import UNKNOWN, learnable, predict, train
+from pitchframe.llm.mixing import mix
+from pitchframe.llm.near_dups import near_duplicates
+from pitchframe.llm.queries import benchmark_items
+from pitchframe.llm.token_files import read_token_files, write_token_files
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LEAST_SCORE = 0.3  # of a language, for a text to be kept
+ROW = "_row"
 
-STAGES: list = []
+# Language ID learns from the data, which SQL cannot express.
 ORACLE_SQL = None
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Rows with a number of their own, so that null and repeated doc_ids keep apart."""
+    return settle(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)), "rows")
+
+
+def by_number(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject texts without letters and those that no learned language scores at LEAST_SCORE.
+
+    Where nothing could be learned, texts with a letter stay.
+    """
+    docs = docs.select(*COLUMNS)
+    model = train(learnable(docs))
+    if not model:
+        return docs.where(F.rlike("text", F.lit(r"\p{L}")))
+    judged = predict(docs, model, COLUMNS)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (0.8 of the shingles) the row with the smallest doc_id stays."""
+    docs = numbered(docs)
+    groups = near_duplicates(by_number(docs), percent=80, bands=36, rows=5).select(
+        F.col("doc_id").alias(ROW), F.col("component_id").alias("group")
+    )
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW))
+    firsts = docs.select(ROW, "doc_id").join(groups, ROW).groupBy("group").agg(F.min(order).alias("first"))
+    return docs.join(firsts.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    docs = numbered(docs)
+    leaks = contaminated(by_number(docs), benchmark_items(spark, sf_dir)).select(F.col("doc_id").alias(ROW)).distinct()
+    return docs.join(leaks, ROW, "left_anti").select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    docs = numbered(docs)
+    copies = mix(docs, row_no=ROW).where("copies > 0").select(F.col("row_no").alias(ROW), "copies")
+    copies = copies.select(ROW, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return docs.join(copies, ROW).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the token files; return every document's place in them."""
+    path = new_path(spark, "token-files")
+    write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, vocabulary=50_257)
+    return read_token_files(spark, path)
+
+
+STAGES = [
+    ("language", language),
+    ("near copies", near_copies),
+    ("decontaminate", decontaminate),
+    ("mixture", mixture),
+    ("tokens", tokens),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each one's rows written as Parquet and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

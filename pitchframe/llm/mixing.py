@@ -103,12 +103,14 @@ def mix(
     share: float = 1.5,
     ceiling: float = 2.0,
     seed: int = 20,
+    row_no: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, copies, taken, and row_no.
 
     ``weights`` is (source, weight) with a weight above 0 for every source, else the run
     fails; without it the weights 5, 2, 1 repeat.  size counts runs of anything but ASCII white space (null text: 0),
-    copies is how often the mix takes the document, taken = copies * size.  The first pass
+    copies is how often the mix takes the document, taken = copies * size, and ``row_no`` is
+    the given column of distinct numbers, or made here.  The first pass
     takes documents while they fit; a second one fills the gap left by the first document
     that did not, from those small enough.  A null source is a source of its own.  Documents
     with a null or repeated doc_id share one random number, and ties go by row.  Sources
@@ -117,7 +119,7 @@ def mix(
     u = uniform(seed)
     sized = settle(
         docs.select(
-            F.monotonically_increasing_id().alias("row_no"),
+            (F.monotonically_increasing_id() if row_no is None else F.col(row_no)).alias("row_no"),
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),

@@ -15,6 +15,7 @@ from pitchframe.llm.exact_dedup import exact_dedup
 from pitchframe.llm.language_id import identify_languages
 from pitchframe.llm.mixing import mix
 from pitchframe.llm.near_dups import near_duplicates
+from pitchframe.llm.repeats import remove_repeats
 from pitchframe.llm.secret_scan import BASE_RULES, find_secrets, span_list
 from pitchframe.llm.token_counts import count_tokens
 from pitchframe.llm.token_files import read_token_files, write_token_files
@@ -82,6 +83,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -101,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
     "op6_secret_scan": op6_secret_scan,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_near_dups": op8_near_dups,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,

@@ -30,6 +30,11 @@ def clock_key(time: str = "Time") -> Column:
     return F.coalesce(F.col(time), F.lit("~"))
 
 
+def present(key: str) -> Column:
+    """A key column; a NULL in it raises."""
+    return F.coalesce(F.col(key), F.raise_error(F.lit(f"{key} is NULL; set such rows apart with split_unscored")))
+
+
 def match_order() -> list[Column]:
     """Chronological order with the source order as tie-break."""
     return [day_key(), clock_key(), F.col("match_seq")]
@@ -44,12 +49,19 @@ def number_matches(
 ) -> DataFrame:
     """Add the 0-based chronological position of each row in its group, and the group's size.
 
-    ``match_seq`` (then ``ties``) must tell apart rows with the same kick-off.
+    ``match_seq`` (then ``ties``) must tell apart rows with the same kick-off.  A NULL
+    among the groups or in ``match_seq`` fails the run: ``split_unscored`` sets such rows
+    apart at ingest, and they must not vanish here.
     """
     kick_off = [*groups, "_day", "_clock"]
     cell = [*kick_off, "_cell"]
     keyed = matches.withColumns(
-        {"_day": day_key(), "_clock": clock_key(), "_cell": F.shiftright("match_seq", CELL_BITS)}
+        {
+            **{k: present(k) for k in groups},
+            "_day": day_key(),
+            "_clock": clock_key(),
+            "_cell": F.shiftright(present("match_seq"), CELL_BITS),
+        }
     )
 
     cells = keyed.groupBy(*cell).agg(F.count("*").alias("_n"))

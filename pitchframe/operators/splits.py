@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchframe.operators.ordering import number_matches
 
-MAX_SEASONS = 10_000
-
 
 def number_rows(df: DataFrame) -> DataFrame:
     """Add ``row_no``, the place among all rows by season, kick-off and source order, and ``rows_total``.
@@ -61,35 +61,26 @@ def walk_forward_folds(df: DataFrame) -> DataFrame:
     )
 
 
-def ordered_seasons(df: DataFrame) -> list:
-    """The season labels in time order, on the driver, for the loop over folds."""
-    rows = season_order(df).orderBy("place").limit(MAX_SEASONS + 1).collect()
-    if len(rows) > MAX_SEASONS:
-        raise ValueError(f"more than {MAX_SEASONS} seasons: is 'season' really a season?")
-    return [r["season"] for r in rows]
+def ordered_seasons(df: DataFrame) -> Iterator:
+    """The season labels in time order, fetched as the loop over folds goes on."""
+    return (r["season"] for r in season_order(df).orderBy("place").toLocalIterator())
 
 
-def fold_seasons(df: DataFrame) -> list[tuple[int, list, object]]:
+def fold_seasons(df: DataFrame) -> Iterator[tuple[int, list, object]]:
     """(fold, seasons to train on, season to test on) for every fold."""
-    seasons = ordered_seasons(df)
-    return [(k, seasons[:k], seasons[k]) for k in range(1, len(seasons))]
+    earlier: list = []
+    for season in ordered_seasons(df):
+        if earlier:
+            yield len(earlier), list(earlier), season
+        earlier.append(season)
 
 
 def fold_rows(df: DataFrame) -> DataFrame:
     """Every row once per fold it belongs to, with ``fold`` and ``role``.
 
-    The folds of a season form a list of at most ``MAX_SEASONS`` pairs, looked up by
-    season; as a local table of known size Spark can broadcast it, so the rows are
-    not shuffled and a large season is no hot key.
+    The folds are a small table by season; where Spark measures it small it is broadcast,
+    and elsewhere a large season is split by adaptive execution.  Rows without a season
+    belong to the folds of the season NULL.
     """
-    spark = df.sparkSession
-    listed: dict[object, list[tuple[int, str]]] = {}
-    for fold, train, test in fold_seasons(df):
-        for season in train:
-            listed.setdefault(season, []).append((fold, "train"))
-        listed.setdefault(test, []).append((fold, "test"))
-    season_type = dict(df.dtypes)["season"]
-    folds = spark.createDataFrame(
-        list(listed.items()), f"season {season_type}, folds array<struct<fold:int,role:string>>"
-    )
-    return df.join(folds, "season").select(*df.columns, F.inline("folds"))
+    folds = walk_forward_folds(df).withColumnRenamed("season", "_season")
+    return df.join(folds, F.col("season").eqNullSafe(F.col("_season"))).select(*df.columns, "fold", "role")

@@ -40,7 +40,8 @@ def goal_histogram(matches: DataFrame) -> DataFrame:
         .groupBy("goals")
         .agg(F.sum("home").alias("home_matches"), F.sum("away").alias("away_matches"))
     )
-    highest = matches.agg(F.greatest(F.max("FTHG"), F.max("FTAG")).alias("highest"))
+    # One row per number of goals by now.
+    highest = counts.agg(F.max("goals").alias("highest"))
     every = highest.where("highest is not null").select(
         F.explode(F.sequence(F.lit(0), F.col("highest").cast("int"))).alias("goals")
     )

@@ -8,8 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A session for tests and single-machine runs; a cluster brings its own."""
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, checkpoint_dir: str | None = None
+) -> SparkSession:
+    """A session for tests and single-machine runs; a cluster brings its own.
+
+    Intermediate tables go to ``checkpoint_dir``, by default a new temporary folder.
+    """
+    checkpoint_dir = checkpoint_dir or tempfile.mkdtemp(prefix="pitchframe-")
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("pitchframe")
@@ -18,33 +24,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", checkpoint_dir)
         .getOrCreate()
     )
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables that every executor can reach."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="pitchframe-")
-        context.setCheckpointDir(folder)
+    """The folder for intermediate tables that every executor can reach: ``spark.checkpoint.dir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder
 
 
-def settle(df: DataFrame, keys: list[str]) -> DataFrame:
+def settle(df: DataFrame, by: str = "season") -> DataFrame:
     """Write a frame that is read many times (model training) and return it re-read.
 
-    The rows are spread evenly by ``keys``, which must be close to unique, and land as
-    Parquet in the shared folder, so later reads prune columns and a lost executor
-    costs a re-read and not a recomputation.
+    It lands as Parquet in the shared folder, in folders by ``by``, so later reads prune
+    columns and folders and a lost executor costs a re-read and not a recomputation.
+    Adaptive execution cuts large folders and joins small ones (``REBALANCE``).
     """
     spark = df.sparkSession
-    parts = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    )
     path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.repartition(parts, *keys).write.parquet(path)
-    return spark.read.parquet(path)
+    df.hint("rebalance", by).write.partitionBy(by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -67,8 +67,9 @@ def read_matches(spark: SparkSession, paths: str | Iterable[str], div_name: str
 
 
 def split_unscored(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(matches with a date and a score, the others); only the former can enter a table."""
-    usable = F.col("Date").isNotNull() & F.col("FTHG").isNotNull() & F.col("FTAG").isNotNull()
+    """(matches with keys, a date and a score, the others); only the former can enter a table."""
+    needed = [*MATCH_KEY, "Date", "FTHG", "FTAG"]
+    usable = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in needed])
     return matches.where(usable), matches.where(~usable)
 
 

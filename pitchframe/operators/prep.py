@@ -13,10 +13,11 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchframe.columns import LEAK_COLUMNS, MATCH_KEY
+from pitchframe.operators.splits import season_order
 
 TEAMS = ("HomeTeam", "AwayTeam")
 
@@ -127,16 +128,47 @@ class MatchPreprocessor:
         return names
 
 
+def walk_forward_scaled(df: DataFrame, numbers: Sequence[str]) -> DataFrame:
+    """Every row but the first season's with ``fold``, its ``numbers`` scaled by the seasons before.
+
+    Counts, means and variances per season come from one aggregate and are merged forward
+    over the short table of seasons, so the work does not grow with their square.
+    """
+    moments = {c: (F.avg(c).alias(f"m{i}"), F.var_pop(c).alias(f"v{i}")) for i, c in enumerate(numbers)}
+    per_season = df.groupBy("season").agg(F.count("*").alias("n"), *[m for both in moments.values() for m in both])
+    placed = season_order(df).withColumnRenamed("season", "_season")
+    # One row per season, so a window without partitions is safe.
+    earlier = Window.partitionBy(F.lit(0)).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.sum("n").over(earlier)
+    merged: dict[str, Column] = {}
+    for i in range(len(numbers)):
+        mean = F.sum(F.col("n") * F.col(f"m{i}")).over(earlier) / n
+        square = F.sum(F.col("n") * (F.col(f"v{i}") + F.col(f"m{i}") * F.col(f"m{i}"))).over(earlier) / n
+        spread = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+        # What is left of a constant column after the subtraction is rounding.
+        constant = spread <= F.lit(1e-9) * F.greatest(F.abs(mean), F.lit(1.0))
+        merged[f"mean{i}"] = mean
+        merged[f"std{i}"] = F.when(constant, 1.0).otherwise(spread)
+    scales = (
+        per_season.join(placed, F.col("season").eqNullSafe(F.col("_season")))
+        .select("_season", F.col("place").alias("fold"), *[value.alias(name) for name, value in merged.items()])
+        .where("fold > 0")
+    )
+    rows = df.join(scales, F.col("season").eqNullSafe(F.col("_season")))
+    ready = {c: (F.col(c) - F.col(f"mean{i}")) / F.col(f"std{i}") for i, c in enumerate(numbers)}
+    return rows.withColumns(ready).select("fold", *df.columns)
+
+
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """(label, weight): rows / (classes x rows of the class), so that classes weigh the same."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    whole = counts.agg(F.sum("n").alias("rows"), F.count("*").alias("classes"), F.collect_list(F.struct(label, "n")).alias("c"))
-    return whole.select("rows", "classes", F.inline("c")).select(
-        label, (F.col("rows") / (F.col("classes") * F.col("n"))).alias("weight")
-    )
+    # One row per class by now.
+    every = Window.partitionBy(F.lit(0))
+    rows, classes = F.sum("n").over(every), F.count("*").over(every)
+    return counts.select(label, (rows / (classes * F.col("n"))).alias("weight"))
 
 
 def with_class_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """Add ``weight``; the weights are a CASE over the few classes, so no row moves."""
-    found = {r[label]: r["weight"] for r in class_weights(df, label).collect()}
-    return df.withColumn("weight", F.coalesce(*[F.when(F.col(label) == k, F.lit(w)) for k, w in found.items()]))
+    """Add ``weight``: a join with the small table of classes, which Spark broadcasts by its size."""
+    weights = class_weights(df, label).withColumnRenamed(label, "_class")
+    return df.join(weights, F.col(label).eqNullSafe(F.col("_class"))).drop("_class")

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ from pitchframe.operators.elo import join_elo
 from pitchframe.operators.match_rows import complete_rows
 from pitchframe.operators.metrics import accuracy, classification_report, majority_predictions
 from pitchframe.operators.models import boosted_trees, logistic_regression, neural_net, random_forest
-from pitchframe.operators.prep import MatchPreprocessor, TargetEncoder, class_weights
+from pitchframe.operators.prep import MatchPreprocessor, TargetEncoder, class_weights, walk_forward_scaled
 from pitchframe.operators.rolling import add_rolling_features
 from pitchframe.operators.splits import chronological_split, fold_rows, fold_seasons, walk_forward_folds
 from pitchframe.operators.standings import add_table_positions
@@ -82,13 +81,8 @@ def team_rows(with_positions: bool) -> Query:
 
 def scaled(dataset: DataFrame) -> DataFrame:
     """Every fold's test rows, scaled by its training seasons."""
-    folds = []
-    for fold, train, test in fold_seasons(dataset):
-        prep = MatchPreprocessor(categories=[], exclude=["HomeTeam", "AwayTeam"])
-        prep.fit(dataset.where(F.col("season").isin(train)))
-        rows = prep.scaled(dataset.where(F.col("season") == test))
-        folds.append(rows.select(F.lit(fold).alias("fold"), *MATCH_KEY, *prep.numbers))
-    return reduce(DataFrame.unionByName, folds)
+    numbers = MatchPreprocessor(categories=[], exclude=["HomeTeam", "AwayTeam"]).number_columns(dataset)
+    return walk_forward_scaled(dataset, numbers).select("fold", *MATCH_KEY, *numbers)
 
 
 def one_hot(matches: DataFrame) -> DataFrame:
@@ -97,11 +91,16 @@ def one_hot(matches: DataFrame) -> DataFrame:
     teams = matches.select(*MATCH_KEY, "Date", "HomeTeam", "AwayTeam")
     for fold, train, test in fold_seasons(teams):
         prep = MatchPreprocessor().fit(teams.where(F.col("season").isin(train)))
-        rows = prep.transform(teams.where(F.col("season") == test))
-        names = F.array(*[F.lit(n) for n in prep.feature_names()])
-        cells = rows.select(*MATCH_KEY, F.posexplode(vector_to_array("features")).alias("position", "value"))
-        ones = cells.where("value = 1").withColumn("feature", F.get(names, F.col("position")))
-        folds.append(ones.select(F.lit(fold).alias("fold"), *MATCH_KEY, "position", "feature"))
+        coded = prep.indexer.transform(teams.where(F.col("season") == test))
+        offset, ones = 0, []
+        for column, labels in zip(prep.categories, prep.indexer.labelsArray):
+            code = F.col(f"code_{column}").cast("int")
+            name = F.concat(F.lit(f"cat__{column}_"), F.col(column))
+            # A team not seen in training has the code after the last one and no entry.
+            ones.append(F.when(code < len(labels), F.struct((code + offset).alias("position"), name.alias("feature"))))
+            offset += len(labels)
+        entries = F.inline(F.filter(F.array(*ones), lambda entry: entry.isNotNull()))
+        folds.append(coded.select(F.lit(fold).alias("fold"), *MATCH_KEY, entries))
     return reduce(DataFrame.unionByName, folds)
 
 
@@ -115,7 +114,9 @@ def fold_membership(matches: DataFrame) -> DataFrame:
 
 
 def majority(matches: DataFrame) -> DataFrame:
-    return majority_predictions(fold_rows(matches.select("season", "Date", "FTR")))
+    """Counted by season and result before the seasons multiply into folds."""
+    counts = matches.groupBy("season", "FTR").agg(F.count("*").alias("n"), F.min("Date").alias("Date"))
+    return majority_predictions(fold_rows(counts), weight="n")
 
 
 def elo_enriched(matches: DataFrame) -> DataFrame:
@@ -159,8 +160,8 @@ PLAIN: dict[str, Query] = {
     "one_hot_teams": over_matches(one_hot),
     "label_codes": over_matches(label_codes),
     "class_weights": over_matches(lambda m: class_weights(m, "FTR")),
-    "majority_baseline_report": over_matches(lambda m: classification_report(majority(m), ["fold"])),
-    "majority_baseline_accuracy": over_matches(lambda m: accuracy(majority(m), ["fold"])),
+    "majority_baseline_report": over_matches(lambda m: classification_report(majority(m), ["fold"], "n")),
+    "majority_baseline_accuracy": over_matches(lambda m: accuracy(majority(m), ["fold"], "n")),
     "feature_importance_top10": over_dataset(lambda d: ranked_ends(feature_importance(d))),
     "walk_forward_lr": over_dataset(lambda d: walk_forward_report(d, lambda n, k: logistic_regression(n))),
     "walk_forward_rf": over_dataset(lambda d: walk_forward_report(d, lambda n, k: random_forest())),

@@ -60,7 +60,7 @@ points AS (
          CASE "FTR" WHEN 'A' THEN 3 WHEN 'D' THEN 1 WHEN 'H' THEN 0 END FROM matches)"""
 
 STANDINGS = """
-numbered AS (
+numbered AS MATERIALIZED (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY div_name, season ORDER BY "Date", "Time", match_seq) - 1 AS match_no
   FROM matches),
 booked AS (
@@ -68,7 +68,7 @@ booked AS (
   UNION ALL SELECT div_name, season, match_no, "AwayTeam", "FTAG", "FTHG" FROM numbered),
 teams AS (SELECT DISTINCT div_name, season, team FROM booked),
 tables AS (
-  SELECT n.div_name, n.season, n.match_no, t.team,
+  SELECT n.div_name, n.season, n.match_no, n."HomeTeam", n."AwayTeam", t.team,
          COALESCE(SUM(CASE WHEN b.gf > b.ga THEN 3 WHEN b.gf = b.ga THEN 1 ELSE 0 END) OVER w, 0) AS pts,
          COALESCE(SUM(b.gf - b.ga) OVER w, 0) AS gd,
          COALESCE(SUM(b.gf) OVER w, 0) AS gf,
@@ -79,18 +79,21 @@ tables AS (
                     AND b.match_no = n.match_no AND b.team = t.team
   WINDOW w AS (PARTITION BY n.div_name, n.season, t.team ORDER BY n.match_no
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-ranked AS (
-  SELECT div_name, season, match_no, team,
+ranked AS MATERIALIZED (
+  SELECT div_name, season, match_no, "HomeTeam", "AwayTeam", team,
          CASE WHEN played < 3 THEN 10
               ELSE ROW_NUMBER() OVER (PARTITION BY div_name, season, match_no
                                       ORDER BY pts DESC, gd DESC, gf DESC, team) END AS pos
   FROM tables),
+positions AS (
+  SELECT div_name, season, match_no,
+         CAST(MAX(CASE WHEN team = "HomeTeam" THEN pos END) AS INT) AS "HomeTablePos",
+         CAST(MAX(CASE WHEN team = "AwayTeam" THEN pos END) AS INT) AS "AwayTablePos"
+  FROM ranked WHERE team = "HomeTeam" OR team = "AwayTeam" GROUP BY div_name, season, match_no),
 placed AS (
-  SELECT n.*, CAST(h.pos AS INT) AS "HomeTablePos", CAST(a.pos AS INT) AS "AwayTablePos",
-         CAST(a.pos - h.pos AS INT) AS "TablePosDiff"
+  SELECT n.*, p."HomeTablePos", p."AwayTablePos", p."AwayTablePos" - p."HomeTablePos" AS "TablePosDiff"
   FROM numbered n
-  JOIN ranked h ON h.div_name = n.div_name AND h.season = n.season AND h.match_no = n.match_no AND h.team = n."HomeTeam"
-  JOIN ranked a ON a.div_name = n.div_name AND a.season = n.season AND a.match_no = n.match_no AND a.team = n."AwayTeam")"""
+  JOIN positions p ON p.div_name = n.div_name AND p.season = n.season AND p.match_no = n.match_no)"""
 
 
 def _quoted(names: list[str], prefix: str = "") -> str:
@@ -309,6 +312,81 @@ JOIN {team.lower()}s k ON k.fold = f.fold AND k.team = m."{team}\""""
     )
 
 
+def _by_kick_off() -> str:
+    """Every team column of both sides, found by kick-off and name: several matches of a team multiply."""
+    team = ["Opponent", "TablePosDiff", *[c for own, other, _, _ in MIRRORED for c in (own, other)], "Result", "Points"]
+    team += [name for name, _, _ in DIFFERENCES]
+    sides = (("h", "Home"), ("a", "Away"))
+    picked = ", ".join(f'{t}."{c}" AS "{side}_{c}"' for t, side in sides for c in team)
+    joins = "\n".join(
+        f"""LEFT JOIN team_rows {t} ON {t}.div_name = m.div_name AND {t}.season = m.season AND {t}."Date" = m."Date"
+  AND {t}."Time" = m."Time" AND {t}."Team" = m."{side}Team" AND {t}."Venue" = '{side[0]}'"""
+        for t, side in sides
+    )
+    base = _quoted([c for c in [*RAW_COLUMNS, "HomeTablePos", "AwayTablePos", "TablePosDiff"] if c != "Date"], "m.")
+    return (
+        _with(MATCHES, STANDINGS, _team_rows())
+        + f"""SELECT m.div_name, m.season, m.match_seq, CAST(m."Date" AS VARCHAR) AS "Date", {base}, {picked}
+FROM placed m
+{joins}"""
+    )
+
+
+def _typed() -> str:
+    """The days, counts and gaps that the texts of ``text_matches`` stand for."""
+    return (
+        _with(MATCHES)
+        + """SELECT div_name, season, match_seq, day AS "Date", home AS "FTHG", away AS "FTAG", shots AS "HS",
+       day IS NOT NULL AND home IS NOT NULL AND away IS NOT NULL AS usable
+FROM (
+  SELECT div_name, season, match_seq,
+         CASE WHEN match_seq % 7 = 1 AND YEAR("Date") < 2000 THEN CAST(CAST("Date" + INTERVAL 100 YEAR AS DATE) AS VARCHAR)
+              WHEN match_seq % 7 IN (3, 4) THEN NULL ELSE CAST("Date" AS VARCHAR) END AS day,
+         CASE WHEN match_seq % 11 = 3 THEN NULL ELSE "FTHG" END AS home, "FTAG" AS away,
+         CASE WHEN match_seq % 5 = 2 THEN NULL ELSE "HS" END AS shots
+  FROM matches)"""
+    )
+
+
+HOLDOUT = """
+parted AS (
+  SELECT *, ROW_NUMBER() OVER (ORDER BY season, "Date", "Time", match_seq, div_name) <= FLOOR(COUNT(*) OVER () * 0.8) AS train
+  FROM complete)"""
+
+
+def _studies() -> dict[str, str]:
+    """What holds for the model studies whatever the fitted trees or weights are."""
+    dataset, names = _dataset()
+    complete = f"\ncomplete AS (SELECT * FROM dataset WHERE {_complete(names)})"
+    base = [MATCHES, STANDINGS, _team_rows(), _rolled(ALL_MEASURES, [5, 10], ["", "_all"]), dataset, complete]
+    walk = (
+        _with(*base, FOLDS.replace("FROM matches", "FROM complete"))
+        + """SELECT f.fold, d."FTR" AS class, COUNT(*) AS support, true AS in_range
+FROM complete d JOIN folds f ON f.season = d.season AND f.role = 'test' GROUP BY f.fold, d."FTR\""""
+    )
+    held = (
+        _with(*base, HOLDOUT)
+        + 'SELECT "FTR" AS class, COUNT(*) AS support, true AS in_range FROM parted WHERE NOT train GROUP BY "FTR"'
+    )
+    share = 'ROUND(CAST(COUNT(*) AS DOUBLE) / SUM(COUNT(*)) OVER (), 2)'
+    teams = " UNION ALL ".join(
+        f"SELECT DISTINCT CONCAT('cat__{label}_', CAST({source} AS VARCHAR)) FROM parted WHERE train"
+        for label, source in (("HomeTeam", '"HomeTeam"'), ("AwayTeam", '"AwayTeam"'), ("season_label", "season"))
+    )
+    numbers = ", ".join(f"'num__{n}'" for n in names)
+    return {
+        "walk_forward_lr_support": walk,
+        "walk_forward_rf_support": walk,
+        "holdout_gbt_support": held,
+        "holdout_mlp_support": held,
+        "holdout_lr_calibration": _with(*base, HOLDOUT)
+        + f"""SELECT "FTR" AS class, COUNT(*) AS rows, {share} AS share, {share} AS probability
+FROM parted WHERE train GROUP BY "FTR\"""",
+        "feature_importance_names": _with(*base, HOLDOUT)
+        + f'SELECT "Feature", 1.0::DOUBLE AS total FROM (SELECT UNNEST([{numbers}]) AS "Feature" UNION ALL {teams})',
+    }
+
+
 def statements() -> dict[str, str]:
     form = [STANDINGS, _team_rows()]
     everything = _rolled(ALL_MEASURES, [5, 10], ["", "_all"])
@@ -318,7 +396,9 @@ def statements() -> dict[str, str]:
     stats = [c for own, other, _, _ in MIRRORED for c in (own, other)]
     tail = [*stats, "Result", "Points", *[name for name, _, _ in DIFFERENCES]]
     raw = _quoted([c for c in RAW_COLUMNS if c != "Date"])
-    return {
+    return _studies() | {
+        "typed_matches": _typed(),
+        "dataset_by_kick_off": _by_kick_off(),
         "derived_matches": _with(MATCHES) + f"SELECT {KEY}, {DAY}, {raw} FROM matches",
         "derived_elo": _with(MATCHES, ELO)
         + 'SELECT team, CAST("QueryDate" AS VARCHAR) AS "QueryDate", elo FROM elo',

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable
 from functools import reduce
 
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from pitchframe.columns import COUNT_COLUMNS, LEAGUE, MATCH_KEY, RAW_COLUMNS, require_columns
 from pitchframe.operators.match_rows import complete_rows
 from pitchframe.operators.ordering import match_order
+from pitchframe.session import settle
 
-SEASON_PATTERN = r"(\d\d-\d\d)"
+SEASON_PATTERN = r"(?:^|\D)(\d\d-\d\d)\.csv$"
 
 
 def parse_day(text: Column) -> Column:
@@ -22,48 +24,81 @@ def parse_day(text: Column) -> Column:
 
 
 def file_season() -> Column:
-    """The ``21-22`` in the name of the file a row comes from."""
-    return F.regexp_extract(F.col("_metadata.file_name"), SEASON_PATTERN, 1)
+    """The season of the file a row comes from: a ``season=`` folder, else ``21-22`` before ``.csv``.
 
+    A file without either raises: rows of unknown seasons would merge into one.
+    """
+    path = F.col("_metadata.file_path")
+    found = F.coalesce(_folder_value("season"), F.nullif(F.regexp_extract(path, SEASON_PATTERN, 1), F.lit("")))
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("no season in the name of "), path)))
 
-def _csv_files(spark: SparkSession, paths: str | Iterable[str]) -> list[str]:
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    return sorted(r["path"] for r in listing.select("path").collect())
+
+def _folder_value(key: str) -> Column:
+    """The value of a ``key=value`` folder on the way to a row's file, else NULL."""
+    value = F.regexp_extract(F.col("_metadata.file_path"), rf"/{key}=([^/]+)/", 1)
+    return F.url_decode(F.nullif(value, F.lit("")))
+
+
+def _headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Header to files, from one pass over the lines of all files."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(paths)
+    placed = lines.select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line"))
+    by_file = placed.groupBy("path").agg(F.min_by("value", "line").alias("header"))
+    files: dict[tuple[str, ...], list[str]] = {}
+    for row in by_file.orderBy("path").toLocalIterator():
+        names = next(csv.reader([row["header"].removeprefix("\ufeff")]))
+        files.setdefault(tuple(names), []).append(row["path"])
+    return files
 
 
-def _scan_csv(spark: SparkSession, paths: str | Iterable[str], needed: list[str]) -> DataFrame:
-    """Text columns ``needed`` of CSV files whose other columns may differ, with season and file.
+def _scan_csv(spark: SparkSession, paths: str | Iterable[str], needed: list[str] | None = None) -> DataFrame:
+    """Text columns ``needed`` (else all) of CSV files whose other columns may differ, with league,
+    season and match_seq.
 
     Spark binds CSV columns by position of the first file's header, so files are scanned
     together only where their headers agree.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in _csv_files(spark, paths):
-        header = tuple(spark.read.csv(path, header=True).columns)
-        by_header.setdefault(header, []).append(path)
+    paths = [paths] if isinstance(paths, str) else list(paths)
     scans = []
-    for header, files in by_header.items():
+    for header, files in _headers(spark, paths).items():
         scan = spark.read.csv(files, header=True)
-        require_columns(scan, needed, f"Files: {files[:3]}")
-        league = F.col("Div") if "Div" in header else F.lit(None).cast("string")
-        scans.append(scan.select(*needed, league.alias("div_name"), file_season().alias("season")))
-    return reduce(DataFrame.unionByName, scans)
+        wanted = needed or [c for c in header if c not in (*MATCH_KEY, "Div")]
+        require_columns(scan, wanted, f"Files: {files[:3]}")
+        leagues = [F.col(c) for c in ("div_name", "Div") if c in header]
+        kept_seq = [F.col("match_seq").try_cast("long")] if "match_seq" in header else []
+        scans.append(
+            scan.select(
+                *wanted,
+                F.coalesce(_folder_value("div_name"), *leagues).alias("div_name"),
+                file_season().alias("season"),
+                F.coalesce(*kept_seq, F.lit(None).cast("long")).alias("match_seq"),
+            )
+        )
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=needed is None), scans)
+
+
+def typed_matches(scan: DataFrame, div_name: str = "all") -> DataFrame:
+    """Text columns of season files to a typed match frame; what cannot be read is NULL."""
+    counts = {c: F.col(c).try_cast("double").cast("int") for c in COUNT_COLUMNS}
+    return scan.withColumns(
+        {"Date": parse_day(F.col("Date")), "div_name": F.coalesce("div_name", F.lit(div_name)), **counts}
+    ).select(*MATCH_KEY, *RAW_COLUMNS)
+
+
+def _numbered(scan: DataFrame) -> DataFrame:
+    """match_seq in file order where the files hold none."""
+    return scan.withColumn("match_seq", F.coalesce("match_seq", F.monotonically_increasing_id()))
 
 
 def read_matches(spark: SparkSession, paths: str | Iterable[str], div_name: str = "all") -> DataFrame:
     """Season CSV files (one path, a list, or folders) as one typed match frame.
 
-    The league comes from the ``Div`` column (``div_name`` without one), the season from
-    the file name, and ``match_seq`` numbers the rows in file order.  A missing column
-    raises.  Write the result once with ``write_matches`` and read it from there: the
-    staged table prunes columns and seasons, and fixes ``match_seq``.
+    The league comes from a folder or the ``Div`` column (``div_name`` without one), the season
+    from a folder or the file name, and ``match_seq`` numbers the rows in file order.  A missing
+    column or season raises.  Write the result once with ``write_matches`` and read it from
+    there: the staged table prunes columns and seasons, and fixes ``match_seq``.
     """
-    scan = _scan_csv(spark, paths, RAW_COLUMNS).withColumn("match_seq", F.monotonically_increasing_id())
-    counts = {c: F.col(c).try_cast("double").cast("int") for c in COUNT_COLUMNS}
-    return scan.withColumns(
-        {"Date": parse_day(F.col("Date")), "div_name": F.coalesce("div_name", F.lit(div_name)), **counts}
-    ).select(*MATCH_KEY, *RAW_COLUMNS)
+    return typed_matches(_numbered(_scan_csv(spark, paths, RAW_COLUMNS)), div_name)
 
 
 def split_unscored(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -85,10 +120,10 @@ def read_staged(spark: SparkSession, path: str, seasons: Iterable[str] | None =
 
 
 def read_dataset_csv(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
-    """Processed season CSVs (``21-22.csv``), typed, with the season from the file name."""
-    first = _csv_files(spark, paths)[0]
-    names = [c for c in spark.read.csv(first, header=True).columns if c not in (*MATCH_KEY, "Div")]
-    scan = _scan_csv(spark, paths, names).withColumn("match_seq", F.monotonically_increasing_id())
+    """Processed season CSVs, typed: files such as ``21-22.csv``, or the folders that
+    ``export_dataset(format="csv")`` writes by league and season."""
+    scan = _numbered(_scan_csv(spark, paths))
+    names = [c for c in scan.columns if c not in MATCH_KEY]
     text = {"Time", "HomeTeam", "AwayTeam", "FTR", "Date"}
     numbers = {c: F.col(c).try_cast("double") for c in names if c not in text}
     goals = {c: F.col(c).try_cast("double").cast("int") for c in ("FTHG", "FTAG") if c in names}
@@ -107,6 +142,27 @@ def in_order(df: DataFrame) -> DataFrame:
     return df.orderBy(*LEAGUE, *match_order())
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The absolute form of a path, with its file system."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return str(system.makeQualified(there).toString()).rstrip("/")
+
+
+def _input_roots(df: DataFrame) -> set[str]:
+    """The paths that a frame's file scans were given, without listing their files."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    roots = set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            relation = leaf.relation()
+            if relation.getClass().getSimpleName() == "HadoopFsRelation":
+                paths = relation.location().rootPaths()
+                roots |= {_qualified(df.sparkSession, paths.apply(k).toString()) for k in range(paths.size())}
+    return roots
+
+
 def export_dataset(
     matches: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists"
 ) -> tuple[DataFrame, tuple[int, int]]:
@@ -114,11 +170,13 @@ def export_dataset(
 
     The target must not be a path the rows are read from: Spark would delete its own input.
     """
-    target = path.rstrip("/") + "/"
-    if any(f"{target}" in f for f in matches.inputFiles()):
-        raise ValueError(f"{path} is an input of this dataset; write to a new path")
+    target = _qualified(matches.sparkSession, path)
+    for root in _input_roots(matches):
+        if f"{root}/".startswith(f"{target}/") or f"{target}/".startswith(f"{root}/"):
+            raise ValueError(f"{path} is, holds or lies in an input of this dataset ({root}); write to a new path")
     types = matches.schema
-    writer = in_order(complete_rows(matches)).write.mode(mode).partitionBy(*LEAGUE)
+    # Sorting samples its input: from the settled rows that costs a read, not the pipeline again.
+    writer = in_order(settle(complete_rows(matches))).write.mode(mode).partitionBy(*LEAGUE)
     if format == "csv":
         writer.option("header", "true").csv(path)
         body = [f for f in types.fields if f.name not in LEAGUE]

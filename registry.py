@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import oracle
-from pitchframe.columns import FORM_MEASURES, LEAGUE, MATCH_KEY, OUTCOME_MEASURES
+from pitchframe.columns import FORM_MEASURES, LEAGUE, MATCH_KEY, OUTCOME_MEASURES, RAW_COLUMNS
 from pitchframe.operators.elo import join_elo
-from pitchframe.operators.match_rows import complete_rows
+from pitchframe.operators.match_rows import complete_rows, to_match_rows
 from pitchframe.operators.metrics import accuracy, classification_report, majority_predictions
 from pitchframe.operators.models import boosted_trees, logistic_regression, neural_net, random_forest
 from pitchframe.operators.prep import MatchPreprocessor, TargetEncoder, class_weights, walk_forward_scaled
@@ -27,12 +27,15 @@ from pitchframe.plans import summaries
 from pitchframe.plans.dataset import exploratory_dataset, match_dataset
 from pitchframe.plans.evaluation import (
     feature_importance,
+    holdout_parts,
     holdout_report,
+    mean_probabilities,
     ranked_ends,
     settled_dataset,
     walk_forward_report,
 )
 from pitchframe.sources.derived import derived_elo, derived_matches
+from pitchframe.sources.matches import split_unscored, typed_matches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -129,11 +132,60 @@ def split_rows(matches: DataFrame) -> DataFrame:
     return chronological_split(matches.select(*MATCH_KEY, "Date", "Time"))
 
 
+def text_matches(matches: DataFrame) -> DataFrame:
+    """The matches as a season file's text, with the ways of writing a day, blanks and junk."""
+    seq = F.col("match_seq")
+    forms = {0: "dd/MM/yyyy", 1: "dd/MM/yy", 2: "yyyy-MM-dd", 5: "d/M/yyyy"}
+    day = F.coalesce(*[F.when(seq % 7 == n, F.date_format("Date", form)) for n, form in forms.items()])
+    day = F.when(seq % 7 == 3, "").when(seq % 7 == 4, "to be fixed").otherwise(day)
+    texts = {c: F.col(c).cast("string") for c in RAW_COLUMNS}
+    texts["Date"] = F.when(seq % 7 == 6, F.col("Date").cast("string")).otherwise(day)
+    texts["FTHG"] = F.when(seq % 11 == 3, "n/a").otherwise(F.concat(F.col("FTHG").cast("string"), F.lit(".0")))
+    texts["HS"] = F.when(seq % 5 == 2, " ").otherwise(texts["HS"])
+    return matches.withColumns(texts)
+
+
+def typed(matches: DataFrame) -> DataFrame:
+    rows = typed_matches(text_matches(matches))
+    usable, rejected = split_unscored(rows)
+    both = usable.withColumn("usable", F.lit(True)).unionByName(rejected.withColumn("usable", F.lit(False)))
+    return both.select(*MATCH_KEY, "Date", "FTHG", "FTAG", "HS", "usable")
+
+
+def by_kick_off(matches: DataFrame) -> DataFrame:
+    placed = add_table_positions(matches)
+    return to_match_rows(to_team_rows(placed), placed, keep="all", kick_off_key=["Date", "Time"])
+
+
+def support(report: DataFrame) -> DataFrame:
+    """(fold, class, support, in_range): a report's rows by class, and whether its measures lie in 0 to 1."""
+    inside = [F.col(c).between(0, 1) for c in ("precision", "recall", "f1")]
+    rows = report.where(~F.col("class").isin("accuracy", "macro avg", "weighted avg"))
+    by = [c for c in ("fold",) if c in report.columns]
+    return rows.select(*by, "class", "support", reduce(lambda x, y: x & y, inside).alias("in_range"))
+
+
+def calibration(dataset: DataFrame) -> DataFrame:
+    """Intercepts carry no penalty: on its training rows a logistic model's mean probabilities are the shares."""
+    train, _ = holdout_parts(dataset)
+    found = mean_probabilities(train, lambda n, k: logistic_regression(n))
+    return found.select("class", "rows", *[F.round(c, 2).alias(c) for c in ("share", "probability")])
+
+
+def importance_names(dataset: DataFrame) -> DataFrame:
+    """Every feature of the importance study, and what all importances sum to."""
+    ranked = feature_importance(dataset)
+    # As many rows as features.
+    return ranked.select("Feature", F.round(F.sum("Importance").over(Window.partitionBy(F.lit(0))), 6).alias("total"))
+
+
 ALL_MEASURES = [*FORM_MEASURES, *OUTCOME_MEASURES]
 
 PLAIN: dict[str, Query] = {
     "derived_matches": over_matches(lambda m: m),
     "derived_elo": over_matches(derived_elo),
+    "typed_matches": over_matches(typed),
+    "dataset_by_kick_off": over_matches(by_kick_off),
     "goal_histogram": over_matches(summaries.goal_histogram),
     "points_gap_season": over_matches(lambda m: summaries.points_gap(m, LEAGUE)),
     "points_gap": over_matches(summaries.points_gap),
@@ -163,6 +215,14 @@ PLAIN: dict[str, Query] = {
     "majority_baseline_report": over_matches(lambda m: classification_report(majority(m), ["fold"], "n")),
     "majority_baseline_accuracy": over_matches(lambda m: accuracy(majority(m), ["fold"], "n")),
     "feature_importance_top10": over_dataset(lambda d: ranked_ends(feature_importance(d))),
+    "feature_importance_names": over_dataset(importance_names),
+    "walk_forward_lr_support": over_dataset(
+        lambda d: support(walk_forward_report(d, lambda n, k: logistic_regression(n)))
+    ),
+    "walk_forward_rf_support": over_dataset(lambda d: support(walk_forward_report(d, lambda n, k: random_forest()))),
+    "holdout_lr_calibration": over_dataset(calibration),
+    "holdout_gbt_support": over_dataset(lambda d: support(holdout_report(d, lambda n, k: boosted_trees()))),
+    "holdout_mlp_support": over_dataset(lambda d: support(holdout_report(d, lambda n, k: neural_net(k)))),
     "walk_forward_lr": over_dataset(lambda d: walk_forward_report(d, lambda n, k: logistic_regression(n))),
     "walk_forward_rf": over_dataset(lambda d: walk_forward_report(d, lambda n, k: random_forest())),
     "holdout_lr": over_dataset(lambda d: holdout_report(d, lambda n, k: logistic_regression(n))),

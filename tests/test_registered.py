@@ -8,7 +8,6 @@ import pytest
 import __spark_entry__ as contract
 
 TABLES = Path("/root/testdata/sf0.001")
-SLOW = {"scaled_features"}
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +28,7 @@ def cells(frame, columns):
 
 
 @pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(contract.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_same_as_sql(spark, duck, name):
     import pandas as pd
 

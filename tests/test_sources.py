@@ -1,8 +1,11 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from pitchframe.columns import RAW_COLUMNS
 from pitchframe.operators.elo import join_elo, repeated_ratings
+from pitchframe.operators.standings import add_table_positions
 from pitchframe.plans.dataset import match_dataset
 from pitchframe.sources import matches as M
 from test_standings import league
@@ -55,9 +58,9 @@ def test_staged_table_prunes_seasons(spark, season_files, tmp_path):
     M.write_matches(M.read_matches(spark, str(season_files)), path)
     one = M.read_staged(spark, path, ["22-23"])
     assert one.count() == 2
-    assert "PartitionFilters: [isnotnull(season" in one._jdf.queryExecution().toString() or "season" in str(
-        one._jdf.queryExecution().executedPlan()
-    )
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    filters = next(line for line in plan.splitlines() if "PartitionFilters" in line)
+    assert "season" in filters.split("PartitionFilters")[1].split("PushedFilters")[0]
 
 
 @pytest.mark.parametrize("format", ["parquet", "csv"])
@@ -73,6 +76,45 @@ def test_export_drops_incomplete_rows_and_reports_shape(spark, make_matches, tmp
     assert written.count() == complete
 
 
+def test_exported_csv_reads_back_whole(spark, make_matches, tmp_path):
+    wide = match_dataset(make_matches(league(11, 60, 4, 60)).unionByName(make_matches(league(12, 60, 4, 60), season="22-23")))
+    path = str(tmp_path / "csv")
+    written, _ = M.export_dataset(wide, path, "csv")
+    back = M.read_dataset_csv(spark, path)
+    keys = ["div_name", "season", "match_seq", "HomeTeam", "Home_Points_Rolling5"]
+    assert sorted(map(tuple, back.select(*keys).collect())) == sorted(map(tuple, written.select(*keys).collect()))
+    assert {r["season"] for r in back.select("season").distinct().collect()} == {"21-22", "22-23"}
+
+
+def test_export_refuses_its_input_however_it_is_spelt(spark, make_matches, tmp_path, monkeypatch):
+    path = str(tmp_path / "pq")
+    M.export_dataset(match_dataset(make_matches(league(11, 60, 4, 60))), path)
+    source = spark.read.parquet(path)
+    relative = os.path.relpath(path, os.getcwd())
+    for spelling in (relative, f"./{relative}", f"{tmp_path}/other/../pq", f"file:{path}/div_name=L", str(tmp_path)):
+        with pytest.raises(ValueError, match="input"):
+            M.export_dataset(source, spelling, mode="overwrite")
+    M.export_dataset(source, f"{path}-2")
+
+
+@pytest.mark.parametrize("name", ["matches.csv", "part-00000-12.csv", "pl121-22.csv"])
+def test_unknown_season_raises(spark, tmp_path, name):
+    write_season(tmp_path / name, [{"HomeTeam": "A"}], RAW_COLUMNS)
+    with pytest.raises(Exception, match="no season"):
+        M.read_matches(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("key", ["div_name", "season", "match_seq"])
+def test_rows_without_keys_do_not_vanish(spark, make_matches, key):
+    whole = make_matches(league(11, 60, 4, 60))
+    holed = whole.withColumn(key, F.when(F.col("HomeTeam") != F.lit("t00"), F.col(key)))
+    usable, rejected = M.split_unscored(holed)
+    assert usable.count() + rejected.count() == whole.count() and rejected.count() > 0
+    assert add_table_positions(usable).count() == usable.count()
+    with pytest.raises(Exception, match=f"{key} is NULL"):
+        add_table_positions(holed).collect()
+
+
 def test_processed_csv_is_typed(spark, tmp_path):
     columns = ["Date", "Time", "HomeTeam", "AwayTeam", "FTR", "FTHG", "FTAG", "Home_Points_Rolling5"]
     row = {"Date": "2021-09-01", "Time": "15:00", "HomeTeam": "A", "AwayTeam": "B", "FTR": "D", "Home_Points_Rolling5": 1.5}

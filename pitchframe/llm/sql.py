@@ -134,7 +134,7 @@ hosts AS (
 domains AS (SELECT suffix, domain, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(k) AS BIGINT) AS k FROM hosts GROUP BY suffix, domain),
 suffixes AS (SELECT suffix, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(k) AS BIGINT) AS k FROM domains GROUP BY suffix),
 strengths AS (SELECT {suffixes} AS s1, {domains} AS s2, {hosts} AS s3),
-overall AS (SELECT CAST(SUM(k) + 1 AS DOUBLE) / (SUM(n) + 2) AS m FROM suffixes),
+overall AS (SELECT CAST(SUM(k) + 1 AS DOUBLE) / (SUM(n) + 10) AS m FROM suffixes),
 m1 AS (SELECT suffix, (k + m * s1) / (n + s1) AS above FROM suffixes, overall, strengths),
 m2 AS (SELECT domain, (k + above * s2) / (n + s2) AS above FROM domains JOIN m1 USING (suffix), strengths),
 ab AS (

@@ -21,6 +21,7 @@ from pitchframe.llm.common import settle
 
 URL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ASSUMED = (1, 10)  # bad ones among outcomes that are assumed before any are seen
 STRENGTH_RANGE = (1.0, 1000.0)
 Rule = tuple[str, str]  # ("allow" or "block", host and path such as "example.com/en/")
 
@@ -100,7 +101,8 @@ def host_reputation(hosts: DataFrame, suffixes: tuple[str, ...] = (), z: float =
     domains = settle(hosts.groupBy("suffix", "domain").agg(*counted), "domains")
     suffix_table = settle(domains.groupBy("suffix").agg(*counted), "suffixes")
     total = suffix_table.agg(*counted).first()
-    overall = ((total["k"] or 0) + 1) / ((total["n"] or 0) + 2)
+    bad, all_ = ASSUMED
+    overall = ((total["k"] or 0) + bad) / ((total["n"] or 0) + all_)
 
     def posterior(prior: Column, strength: float) -> Column:
         return (F.col("k") + prior * strength) / (F.col("n") + F.lit(strength))
@@ -133,7 +135,7 @@ def judge_urls(
     rule decides, else the reputation: ``block`` if the lower bound is above ``threshold``.
     A null url, or one without ``://``, has an empty host and path, and the empty host has a
     reputation like any other.  Repeated rows count and are returned each time; other columns
-    are ignored; without outcomes every host has the same prior, and nothing is blocked by it.
+    are ignored; without outcomes every host has the same prior of 0.1.
     """
     parts = pages.select(F.col("page_id"), url_host().alias("host"), url_path().alias("path"))
     labelled = outcomes.where("bad IS NOT NULL AND page_id IS NOT NULL").select(

@@ -1,7 +1,8 @@
 """Times the headline queries and prints one JSON line.
 
 Every query runs once unmeasured on the smallest tables and is then timed over whole
-results at ``BENCH_SF_DIR``.  The model fits are left out unless ``BENCH_MODELS=1``.
+results at ``BENCH_SF_DIR``.  The model fits run at ``BENCH_MODELS_DIR``, by default the
+smallest tables; an empty value leaves them out.
 """
 
 from __future__ import annotations
@@ -27,13 +28,14 @@ HEADLINE = [
     "rolling_points_win",
     "match_dataset",
     "match_dataset_complete",
+    "scaled_features",
     "elo_enriched",
     "chrono_split",
     "walk_forward_rows",
     "class_weights",
     "majority_baseline_report",
 ]
-MODELS = ["scaled_features", "walk_forward_lr", "walk_forward_rf"]
+MODELS = ["walk_forward_lr", "walk_forward_rf", "feature_importance_top10", "holdout_gbt"]
 
 
 def main() -> None:
@@ -41,8 +43,8 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cores, shuffle_partitions=int(cores) if cores.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")
-    names = HEADLINE + (MODELS if os.environ.get("BENCH_MODELS") == "1" else [])
     warm_up = Path(sf_dir).parent / "sf0.001"
+    models_dir = os.environ.get("BENCH_MODELS_DIR", str(warm_up))
 
     def run(name: str, tables: str) -> float:
         started = time.perf_counter()
@@ -50,9 +52,12 @@ def main() -> None:
         return round(time.perf_counter() - started, 3)
 
     if warm_up.exists():
-        for name in names:
+        for name in HEADLINE:
             run(name, str(warm_up))
-    seconds = {name: run(name, sf_dir) for name in names}
+    seconds = {name: run(name, sf_dir) for name in HEADLINE}
+    if models_dir and Path(models_dir).exists():
+        scale = Path(models_dir).name
+        seconds |= {f"{name}@{scale}": run(name, models_dir) for name in MODELS}
     print(
         json.dumps(
             {

@@ -54,12 +54,16 @@ FORM_MEASURES = [
     "Corners", "CornerDifference",
     "Fouls", "FoulDifference",
 ]
+# Further measures with rolling means.
 OUTCOME_MEASURES = ["Points", "Win"]
 # The shorter list of the exploratory variant.
 SHORT_FORM_MEASURES = ["TablePosDiff", "GoalsFor", "Shots", "ShotsOnTarget", "Corners", "Fouls"]
+# Matches looked back on.
 WINDOWS = [5, 10]
 
+# The match columns of the dataset, in output order.
 MATCH_COLUMNS = ["Date", "Time", "HomeTeam", "AwayTeam", "FTR", "FTHG", "FTAG"]
+# What is known only after the match, or is no feature.
 LEAK_COLUMNS = ["Date", "Time", "FTR", "FTHG", "FTAG"]
 
 

@@ -21,7 +21,7 @@ def _prefixed(struct: str, columns: list[str], prefix: str) -> list[Column]:
 
 def to_match_rows(
     team_rows: DataFrame,
-    matches: DataFrame,
+    matches: DataFrame | None = None,
     keep: str = "features",
     kick_off_key: list[str] | None = None,
 ) -> DataFrame:
@@ -29,12 +29,18 @@ def to_match_rows(
 
     ``keep="features"`` takes only what is known before kick-off; ``keep="all"`` takes
     every team column and every match column.  The sides are found by the match key.
+    Without ``matches`` the seven columns that ``keep="features"`` takes from them come from
+    the home side's rows, so nothing is joined.
     With ``kick_off_key`` (``["Date", "Time"]`` or ``["Date"]``) they are found by those
     columns and the team's name instead, which is right only where a team plays once
     per such key: further matches multiply the rows, as in any join.
     """
     known = {*MATCH_KEY, "Date", "Time", "Team", "Venue", "match_no", "league_matches"}
     columns = feature_columns(team_rows)
+    if matches is None:
+        if keep != "features" or kick_off_key is not None:
+            raise ValueError("only the feature rows by match key can do without the matches")
+        return _from_home_side(team_rows, columns)
     base = [c for c in (*MATCH_KEY, *MATCH_COLUMNS) if c in matches.columns]
     if keep == "all":
         columns = [c for c in team_rows.columns if c not in known]
@@ -44,14 +50,32 @@ def to_match_rows(
     if kick_off_key is not None:
         return _by_kick_off(team_rows, matches.select(*base), columns, kick_off_key)
 
+    sides = _sides(team_rows, {venue: columns for venue in SIDES})
+    return matches.select(*base).join(sides, MATCH_KEY, "left").select(*base, *_wide(columns))
+
+
+def _sides(team_rows: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
+    """One row per match with a struct of the given columns for either side."""
+
     def side(venue: str) -> Column:
-        packed = F.struct(*[F.col(c) for c in columns])
+        packed = F.struct(*[F.col(c) for c in columns[venue]])
         return F.first(F.when(F.col("Venue") == venue, packed), ignorenulls=True).alias(venue)
 
     # A match has two rows, so combining before the shuffle would only sort them once more.
-    sides = team_rows.repartition(*MATCH_KEY).groupBy(*MATCH_KEY).agg(*[side(venue) for venue in SIDES])
-    wide = [c for venue, (prefix, _) in SIDES.items() for c in _prefixed(venue, columns, prefix)]
-    return matches.select(*base).join(sides, MATCH_KEY, "left").select(*base, *wide)
+    return team_rows.repartition(*MATCH_KEY).groupBy(*MATCH_KEY).agg(*[side(venue) for venue in SIDES])
+
+
+def _wide(columns: list[str]) -> list[Column]:
+    return [c for venue, (prefix, _) in SIDES.items() for c in _prefixed(venue, columns, prefix)]
+
+
+def _from_home_side(team_rows: DataFrame, columns: list[str]) -> DataFrame:
+    named = {"Date": "Date", "Time": "Time", "HomeTeam": "Team", "AwayTeam": "Opponent"}
+    named |= {"FTR": "Result", "FTHG": "GoalsFor", "FTAG": "GoalsAgainst"}
+    sides = _sides(team_rows, {"H": list(dict.fromkeys([*named.values(), *columns])), "A": columns})
+    base = {name: F.col(f"H.{own}") for name, own in named.items()}
+    base["FTR"] = F.when(base["FTR"] == "W", "H").when(base["FTR"] == "L", "A").otherwise(base["FTR"])
+    return sides.select(*MATCH_KEY, *[base[c].alias(c) for c in MATCH_COLUMNS], *_wide(columns))
 
 
 def _by_kick_off(

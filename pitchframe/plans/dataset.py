@@ -14,7 +14,7 @@ from pitchframe.operators.team_rows import to_team_rows
 def match_dataset(matches: DataFrame) -> DataFrame:
     """Standings, team rows, form and back: one row per match with 138 features."""
     rows = to_team_rows(add_table_positions(matches))
-    return to_match_rows(add_rolling_features(rows), matches)
+    return to_match_rows(add_rolling_features(rows))
 
 
 def exploratory_dataset(matches: DataFrame) -> DataFrame:

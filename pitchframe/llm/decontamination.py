@@ -5,9 +5,9 @@ half overlapping, wide enough that an item's copy lies whole in one.  A posting'
 its BM25 score as a share of the item's score against itself, so one threshold serves all
 items.  Per passage:
 
-1. Terms whose largest impacts sum to less than a share of the threshold are not essential:
-   a passage whose other terms cannot make up the rest is skipped, by one running sum a text.
-2. Block-max WAND walks the posting lists and retrieves every item above the threshold.
+1. The items are cut into ranges with a maximum per term; only ranges that the passage's
+   different terms can lift to the threshold are looked at, all windows of a text at once.
+2. Block-max WAND walks their posting lists and retrieves every item above the threshold.
 3. The passage must hold the item's question and its answer: the given share of their
    five-word shingles, or the whole sequence if it is shorter.
 
@@ -33,12 +33,12 @@ from pitchframe.llm.common import settle, text_or_empty
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5  # of an item's score against itself
+RANGES = 64  # of items, with a common maximum per term
 OVERLAP = 0.8
 WORDS = 5
 SHARD_WORDS = 1_000_000  # of items in one broadcast index
 BLOCK = 64  # postings with a common maximum
 NARROWEST = 64  # words of an item up to which windows have 128
-SLACK = 0.4  # of the threshold, left to terms that are not essential
 STRETCH = 1 << 20  # characters of a text looked at together
 WORD = re.compile(r"[^\W_]+")
 SENTENCE_END = r"[.?!]\s+(?=[^.?!]*[.?!]?\s*$)"
@@ -90,23 +90,57 @@ class ItemIndex:
         self.postings = [([p for p, _ in own], [s for _, s in own]) for own in lists.values()]
         self.most = np.array([max(s) for _, s in self.postings])
         self.blocks = [[max(s[i : i + BLOCK]) for i in range(0, len(s), BLOCK)] for _, s in self.postings]
-        # The weakest terms that cannot reach SLACK of the threshold together.
-        order = np.argsort(self.most, kind="stable")
-        weak = order[np.cumsum(self.most[order]) <= SLACK * THRESHOLD]
-        self.weak_total = float(self.most[weak].sum())
-        self.essential = self.most.copy()
-        self.essential[weak] = 0.0
-
-    def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """(place, score) of every item that the distinct ``terms`` score at the threshold or above."""
-        end = len(self.ids)
-        cursors = [[self.postings[t][0][0], t, 0] for t in terms]  # (item, term, place in its list)
+        self.cuts = np.unique(np.linspace(0, len(items), RANGES + 1).astype(int))
+        self.range_most = np.zeros((len(self.postings), len(self.cuts) - 1), dtype=np.float32)
+        for term, (places, scores) in enumerate(self.postings):
+            which = np.searchsorted(self.cuts, places, side="right") - 1
+            np.maximum.at(self.range_most[term], which, scores)
+
+    def live_ranges(self, terms: np.ndarray, n_words: int) -> Iterator[tuple[int, list[int], list[int]]]:
+        """(start, distinct terms, ranges they can lift to the threshold) of each window that has any.
+
+        ``terms`` numbers a text's words, -1 for those of no item.
+        """
+        step = self.window // 2
+        windows = max(1, -(-(n_words - step) // step))
+        known = np.flatnonzero(terms >= 0)
+        half, term = known // step, terms[known]
+        # A half lies in the window that starts with it and in the one before.
+        window = np.concatenate([half, half - 1])
+        inside = (window >= 0) & (window < windows)
+        width = len(self.postings)
+        pairs = np.unique((window * width + np.concatenate([term, term]))[inside])
+        if not len(pairs):
+            return
+        window, term = pairs // width, pairs % width
+        first = np.flatnonzero(np.diff(window, prepend=-1))
+        # A little room for rounding.
+        live = np.add.reduceat(self.range_most[term], first) >= THRESHOLD - 1e-4
+        stops = np.append(first[1:], len(pairs))
+        for n in np.flatnonzero(live.any(axis=1)).tolist():
+            own = term[first[n] : stops[n]].tolist()
+            yield int(window[first[n]]) * step, own, np.flatnonzero(live[n]).tolist()
+
+    def retrieve(self, terms: list[int], threshold: float, ranges: list[int] | None = None) -> list[tuple[int, float]]:
+        """(place, score) of every item, or of those in ``ranges``, that the distinct ``terms``
+        score at the threshold or above."""
+        ranges = range(len(self.cuts) - 1) if ranges is None else ranges
+        return [hit for r in ranges for hit in self._walk(terms, threshold, int(self.cuts[r]), int(self.cuts[r + 1]))]
+
+    def _walk(self, terms: list[int], threshold: float, first: int, end: int) -> list[tuple[int, float]]:
+        """Block-max WAND over the items from ``first`` to before ``end``."""
+        cursors = []  # (item, term, place in its list)
+        for term in terms:
+            items = self.postings[term][0]
+            place = bisect_left(items, first)
+            if place < len(items) and items[place] < end:
+                cursors.append([items[place], term, place])
         found = []
 
         def advance(cursor: list, target: int) -> None:
             items = self.postings[cursor[1]][0]
             cursor[2] = bisect_left(items, target, cursor[2])
-            cursor[0] = items[cursor[2]] if cursor[2] < len(items) else end
+            cursor[0] = min(items[cursor[2]], end) if cursor[2] < len(items) else end
 
         while True:
             cursors.sort()
@@ -130,7 +164,7 @@ class ItemIndex:
                 if block < len(self.blocks[cursor[1]]):
                     upper += self.blocks[cursor[1]][block]
                     after = (block + 1) * BLOCK
-                    next_block = min(next_block, items[after] if after < len(items) else end)
+                    next_block = min(next_block, items[after]) if after < len(items) else next_block
             if upper < threshold:
                 # No item before the next block of any of these lists can reach it.
                 beyond = cursors[pivot + 1][0] if pivot + 1 < len(cursors) else end
@@ -152,21 +186,9 @@ class ItemIndex:
         """(item_id, score, question overlap, answer overlap, at word) for the passages of ``words``."""
         get = self.number.get
         terms = np.array([get(w, -1) for w in words], dtype=np.int64)
-        if not len(terms):
-            return
-        gains = np.where(terms >= 0, self.essential[terms], 0.0)
-        sums = np.concatenate(([0.0], np.cumsum(gains)))
-        starts = np.arange(0, max(1, len(words) - self.window // 2), self.window // 2)
-        stops = np.minimum(starts + self.window, len(words))
-        # A little room for the rounding of the running sum.
-        bound = sums[stops] - sums[starts] + self.weak_total + 1e-6
-        for start in starts[bound >= THRESHOLD].tolist():
-            own = terms[start : start + self.window]
-            distinct = np.unique(own[own >= 0])
-            if self.most[distinct].sum() + 1e-9 < THRESHOLD:
-                continue
+        for start, distinct, ranges in self.live_ranges(terms, len(words)):
             passage = words[start : start + self.window]
-            for place, score in self.retrieve(distinct.tolist(), THRESHOLD - 1e-9):
+            for place, score in self.retrieve(distinct, THRESHOLD - 1e-9, ranges):
                 question, answer = self.parts[place]
                 yield self.ids[place], score, overlap(question, passage), overlap(answer, passage), first + start
 

@@ -38,7 +38,7 @@ from pitchframe.llm.common import text_or_empty
 BLOCK_DOCS = 1024
 BLOCK_BYTES = 1 << 20
 CACHE_WORDS = 600_000
-SAMPLE_DOCS = 1_000  # documents the dictionary is trained on, each of SAMPLE_CHARS at most
+SAMPLE_DOCS = 1_000  # documents, about, that the dictionary is trained on, each of SAMPLE_CHARS at most
 SAMPLE_CHARS = (64, 8_192)
 DICTIONARY_BYTES = 65_536
 BLOCKS = (
@@ -160,12 +160,13 @@ def id_arrays(tokenizer: str, width: int, end_id: int):
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, width: int, end_id: int) -> bytes:
-    """A dictionary from the SAMPLE_DOCS documents of common length with the smallest hashes.
+    """A dictionary from about SAMPLE_DOCS documents of common length, drawn by a hash.
 
     Too few documents to train on give an empty dictionary: frames then stand alone.
     """
     usable = docs.where(F.length("text").between(*SAMPLE_CHARS))
-    sample = usable.orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE_DOCS)
+    part = min(1.0, SAMPLE_DOCS / max(1, usable.count()))
+    sample = usable.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < int(part * (1 << 40)))
     rows = sample.mapInArrow(id_arrays(tokenizer, width, end_id), "doc_id long, ids binary").collect()
     samples = sorted(bytes(r["ids"]) for r in rows)
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)

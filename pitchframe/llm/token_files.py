@@ -65,7 +65,9 @@ class Encoder:
         self.width = width
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        # Two generations: words seen lately outlive the older half of the cache.
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
 
     def serialised(self, ids: list[int]) -> bytes:
@@ -108,12 +110,16 @@ class Encoder:
         whole = [IRREGULAR.search(t) is not None or bool(self.special and self.special.search(t)) for t in texts]
         done = iter(self.encode_whole([t for t, w in zip(texts, whole) if w]))
         split = [None if w else self.parts(t) for t, w in zip(texts, whole)]
-        known = self.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
+        if len(self.words) > CACHE_WORDS // 2:
+            self.older, self.words = self.words, {}
+        known, older = self.words, self.older
         unseen = {p for parts in split if parts for p in parts if p not in known}
+        known.update((p, older[p]) for p in unseen if p in older)
+        unseen = {p for p in unseen if p not in older}
         cut = {p: m.groups() for p in unseen if (m := WORD_AND_REST.fullmatch(p))}
         halves = {h for pair in cut.values() for h in pair if h not in known}
+        known.update((h, older[h]) for h in halves if h in older)
+        halves = {h for h in halves if h not in older}
         self.learn(list(halves.union(unseen.difference(cut))))
         known.update((p, known[word] + known[rest]) for p, (word, rest) in cut.items())
         return [next(done) if parts is None else b"".join([known[p] for p in parts]) for parts in split]

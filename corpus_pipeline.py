@@ -50,7 +50,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (0.8 of the shingles) the row with the smallest doc_id stays."""
     docs = numbered(docs)
-    groups = near_duplicates(by_number(docs), percent=80, bands=36, rows=5).select(
+    groups = near_duplicates(by_number(docs), percent=80, bands=60, rows=8).select(
         F.col("doc_id").alias(ROW), F.col("component_id").alias("group")
     )
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW))

@@ -30,7 +30,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in ``edges`` (u, v); a component is named by its smallest node.
 
-    Each step is a written table; the steps end when one leaves the edges as they were.  The
+    Each pair of steps is a written table; the steps end when one leaves the edges as they were.  The
     number of steps grows with the logarithm of the longest path.
     """
     mark = F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("mark")
@@ -40,6 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(row) == seen:
             break
         seen = tuple(row)
-        edges = settle(_small_star(settle(_large_star(edges), "large")).distinct(), "small")
+        edges = settle(_small_star(_large_star(edges)).distinct(), "small")
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -5,15 +5,18 @@ smallest hash of each bin is its minimum.  An empty bin borrows from a non-empty
 hashing (bin, attempt) picks, the same for all documents (optimal densification).  ``ROWS``
 minima make a band, equal bands a bucket.
 
-Documents with one and the same set are one node from the start.  In a bucket not all pairs
+Documents with one and the same set are one node from the start.  The shingles that no other
+set in a bucket has bound what a node can share: nodes that cannot be near any set of their
+bucket leave it.  In a bucket not all pairs
 are compared but a star: the node that shares most buckets with others against the rest.
 Links are confirmed on the full sets.  A bucket whose other nodes are then all in one
-component is done; otherwise nodes of its smaller components become the next centres, four
+component is done; otherwise nodes of its smaller components become the next centres, 16
 times as many each round, compared with the nodes of other components, until every pair in
 a bucket is in one component or was compared.  So the stars leave no candidate out, and no
 pair within a component is compared.
 
-With similarity 0.85, 30 bands of 6 miss a pair with probability below 1e-6.
+With similarity 0.85, 60 bands of 10 miss a pair with probability 2e-6, and few pairs that are
+less alike meet in a bucket.
 """
 
 from __future__ import annotations
@@ -30,8 +33,9 @@ from pitchframe.llm.common import settle, text_or_empty
 from pitchframe.llm.components import components
 from pitchframe.llm.shingles import mixed, shingle_set
 
-BANDS = 30
-ROWS = 6
+BANDS = 60
+ROWS = 10
+MARKED = 1 << 25  # bytes of sets whose marks are counted together
 SHARE = 1_000_000  # shingles of partners that one copy of a centre's set serves
 SKETCH = "doc_id long, node binary, size long, buckets array<long>"
 FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -112,6 +116,47 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return held.mapInArrow(run, "node binary, shingles binary").dropDuplicates(["node"])
 
 
+def common_counts(sets: DataFrame) -> DataFrame:
+    """(node, common): how many shingles of each set some other set has too, or a few more.
+
+    Marks of 4 bytes are counted by ranges of the hash; marks that agree by chance only raise
+    ``common``, which serves as an upper bound.
+    """
+    total = sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+    bits = max(0, -(-total // MARKED) - 1).bit_length()
+
+    def marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                own = [np.frombuffer(s, dtype=np.uint64) for s in part.column("shingles").to_pylist()]
+                owner = np.repeat(np.arange(len(own)), [len(s) for s in own])
+                hashes = np.concatenate(own)
+                shard = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), dtype=np.int64)
+                short = ((hashes << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+                order = np.argsort(shard, kind="stable")
+                names, rows = part.column("node").to_pylist(), []
+                for places in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                    owners, counts = np.unique(owner[places], return_counts=True)
+                    rows.append((int(shard[places[0]]), [names[i] for i in owners], counts.tolist(), short[places].tobytes()))
+                types = (pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows), types)], ["shard", "nodes", "counts", "marks"]
+                )
+
+    def tally(table: pa.Table) -> pa.Table:
+        own = [np.frombuffer(m, dtype=np.uint32) for m in table["marks"].to_pylist()]
+        _, which, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        counts = np.concatenate([np.array(c) for c in table["counts"].to_pylist()])
+        common = np.add.reduceat((times[which] > 1).astype(np.int64), np.cumsum(counts) - counts)
+        nodes = pa.chunked_array([pa.array(n, pa.binary()) for n in table["nodes"].to_pylist()], pa.binary())
+        return pa.table({"node": nodes, "common": pa.array(common)})
+
+    drawn = sets.mapInArrow(marks, "shard int, nodes array<binary>, counts array<long>, marks binary")
+    tallies = drawn.groupBy("shard").applyInArrow(tally, "node binary, common long")
+    return tallies.groupBy("node").agg(F.sum("common").alias("common"))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (centre, node) those with 100 * intersection >= percent * union.
 
@@ -173,7 +218,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     )
     members = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1")
-    members = settle(members.join(shared, "bucket"), "members")
+    members = settle(members.join(shared, "bucket").select("bucket", "node"), "members")
+    meeting = members.select("node").distinct()
+    sets = settle(full_sets(docs, nodes.join(meeting, "node", "left_semi").select("node", "holder")), "sets")
+    sizes = settle(nodes.select("node", "size").join(common_counts(sets), "node"), "sizes")
+    # An intersection holds common shingles only: a node that even so is too far from the
+    # smallest set of its bucket that could be near it has no link there.
+    least = members.join(sizes, "node").groupBy("bucket").agg(F.min("size").alias("least"))
+    floor = F.greatest(F.col("least"), F.ceil(F.col("size") * percent / 100))
+    near = 100 * F.col("common") >= percent * (F.col("size") + floor - F.col("common"))
+    members = members.join(sizes, "node").join(least, "bucket").where(near).select("bucket", "node")
+    held = members.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1")
+    members = settle(members.join(held, "bucket"), "members")
     rank = members.groupBy("node").agg(F.sum("held").alias("rank"))
     centres = (
         members.select("bucket", "node")
@@ -182,41 +238,49 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
         .agg(F.max(F.struct("rank", "node")).alias("best"))
         .select("bucket", F.col("best.node").alias("centre"))
     )
-    sizes = nodes.select("node", "size", "holder")
-    sets = settle(full_sets(docs, sizes.join(rank, "node", "left_semi").select("node", "holder")), "sets")
     centres = settle(centres, "centres")
-    labels = rank.select("node", F.col("node").alias("component"))
+    labels = settle(rank.select("node", F.col("node").alias("component")), "labels")
     tested: DataFrame | None = None
     width = 1
     while True:
-        named = members.select("bucket", "node").join(labels, "node")
+        known = labels.join(sizes, "node")
+        # At most a bucket per band in a list.
+        lies_in = members.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+        leads = centres.groupBy("centre").agg(F.collect_list("bucket").alias("leads"))
+        named = members.select("bucket", "node").join(known, "node").join(lies_in, "node")
+        middle = centres.join(leads, "centre").withColumnRenamed("centre", "node").join(known, "node")
+        middle = middle.select("bucket", "leads", *[F.col(c).alias(f"centre_{c}") for c in known.columns])
+        # The intersection holds at most the common shingles of either set.
+        most = F.least("common", "centre_common")
+        near = 100 * most >= percent * (F.col("size") + F.col("centre_size") - most)
+        # A pair that meets in several buckets is taken from the first.
+        first = F.array_min(F.array_intersect("buckets", "leads")) == F.col("bucket")
+        met = named.join(middle.withColumnRenamed("centre_node", "centre"), "bucket")
         pairs = (
-            named.join(centres.join(labels, F.col("centre") == F.col("node")).select("bucket", "centre", F.col("component").alias("of")), "bucket")
-            .where("component <> of")
+            met.where((F.col("component") != F.col("centre_component")) & near & first)
             .select(F.greatest("centre", "node").alias("x"), F.least("centre", "node").alias("y"), "centre", "node")
             .groupBy("x", "y")
             .agg(F.min("centre").alias("centre"))
             .select("centre", F.when(F.col("centre") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("node"))
         )
-        alike = sizes.select(F.col("node").alias("centre"), F.col("size").alias("centre_size"))
-        pairs = pairs.join(sizes.select("node", "size"), "node").join(alike, "centre")
-        smaller, larger = F.least("size", "centre_size"), F.greatest("size", "centre_size")
-        # The union is at least the larger set, the intersection at most the smaller one.
-        pairs = pairs.where(100 * smaller >= percent * larger).select("centre", "node")
         if tested is not None:
             pairs = pairs.join(tested, ["centre", "node"], "left_anti")
         pairs = settle(pairs, "pairs")
-        links = settle(confirmed(pairs, sets, sizes, percent), "links")
+        if tested is None or not pairs.isEmpty():
+            links = settle(confirmed(pairs, sets, sizes, percent), "links")
+        else:
+            links = pairs.select(F.col("centre").alias("u"), F.col("node").alias("v"))
         merged = (
             links.join(labels.withColumnsRenamed({"node": "u", "component": "cu"}), "u")
             .join(labels.withColumnsRenamed({"node": "v", "component": "cv"}), "v")
             .select(F.col("cu").alias("u"), F.col("cv").alias("v"))
         )
-        moved = components(merged).select(F.col("node").alias("component"), F.col("component").alias("moved"))
-        labels = settle(
-            labels.join(moved, "component", "left").select("node", F.coalesce("moved", "component").alias("component")),
-            "labels",
-        )
+        if not links.isEmpty():
+            moved = components(merged).select(F.col("node").alias("component"), F.col("component").alias("moved"))
+            labels = settle(
+                labels.join(moved, "component", "left").select("node", F.coalesce("moved", "component").alias("component")),
+                "labels",
+            )
         turned = pairs.select(F.col("node").alias("centre"), F.col("centre").alias("node"))
         now = pairs.unionByName(turned)
         tested = settle(now if tested is None else tested.unionByName(now), "tested")
@@ -229,7 +293,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
         members = settle(members.join(mixed_buckets, "bucket"), "members")
         if members.isEmpty():
             break
-        width *= 4
+        width *= 16
         smallest = F.row_number().over(Window.partitionBy("bucket").orderBy("n", "component"))
         chosen = split.join(mixed_buckets, "bucket").withColumn("place", smallest).where(F.col("place") <= width)
         centres = settle(

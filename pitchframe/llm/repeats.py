@@ -17,7 +17,7 @@ one less from each position to the next (within a run the preceding characters a
 Suffixes in order that match in LENGTH bytes or more are the occurrences of one string, and
 the smallest doc_id among them goes back to every segment of every pack.
 
-Packs are about 4 MB of whole documents, a very long document is one by itself, and shards
+Packs are about 2 MB of whole documents, a very long document is one by itself, and shards
 are as many as the corpus asks for, so no task's memory grows with the corpus.  A string
 that stands in every document costs its shard one segment a pack.
 """
@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchframe.llm.common import settle, text_or_empty
-from pitchframe.llm.shingles import BYTE_VALUES, mixed, powers
+from pitchframe.llm.shingles import BASE, BYTE_VALUES, mixed, powers
 
 LENGTH = 50
 KMER = 24
-PACK = 1 << 22  # bytes of whole documents packed together
-SHARD = 1 << 22  # bytes of corpus per shard
-PART = 1 << 22  # bytes of a pack whose segments are found together
+PACK = 1 << 21  # bytes of whole documents packed together
+SHARD = 1 << 21  # bytes of corpus per shard
+PART = 1 << 20  # bytes of a pack whose segments are found together
 SYMBOLS = 7  # of 9 bits in one sort key
 NOBODY = np.iinfo(np.int64).max  # stands for a null doc_id: smaller than none
 PACKS = "pack long, n_bytes long, doc_ids binary, sizes binary, payload binary"
@@ -91,7 +91,7 @@ class Segments:
     """The segments of a pack: ``start``, number of strings ``n``, minimizer ``hash``, content name, doc."""
 
     def __init__(self, data: np.ndarray, doc_ids: np.ndarray, sizes: np.ndarray, length: int, kmer: int):
-        doc_of = np.repeat(np.arange(len(sizes)), sizes)
+        doc_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         found = [_segments(data, doc_of, a, length, kmer) for a in range(0, max(1, len(data) - length + 1), PART)]
         self.start, self.n, self.hash, self.name = (np.concatenate(c) for c in zip(*found))
         self.doc = doc_ids[doc_of[self.start]] if len(self.start) else np.zeros(0, dtype=np.int64)
@@ -132,7 +132,8 @@ def _segments(data: np.ndarray, doc_of: np.ndarray, first: int, length: int, kme
     used = inside[start]
     start, n = start[used], n[used]
     name = mixed((sums[start + n + length - 1] - sums[start]) * down[start] + n.astype(np.uint64))
-    return start + first, n, hashes[at[start]], name
+    # Smallest hashes are small numbers: mixed once more they spread over the shards.
+    return start + first, n, mixed(hashes[at[start]] ^ np.uint64(BASE)), name
 
 
 def _opened(row: dict, length: int, kmer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Segments]:

@@ -3,13 +3,16 @@
 The items are indexed, and every passage of the training texts is a query: windows of words,
 half overlapping, wide enough that an item's copy lies whole in one.  A posting's impact is
 its BM25 score as a share of the item's score against itself, so one threshold serves all
-items.  Per passage:
+items; where the copies that step 3 admits can lose more than that, the item's impacts are
+raised, so that none of them is missed.  Per passage:
 
 1. The items are cut into ranges with a maximum per term; only ranges that the passage's
    different terms can lift to the threshold are looked at, all windows of a text at once.
 2. Block-max WAND walks their posting lists and retrieves every item above the threshold.
-3. The passage must hold the item's question and its answer: the given share of their
-   five-word shingles, or the whole sequence if it is shorter.
+3. The passage must hold the item's question and its answer: the given share of the item's
+   words in their order, counted by the fewest words changed, added or left out in either
+   part (``edits_of``, ``allowed``), or the share of the five-word shingles of both, in any
+   order.
 
 Items are taken in shards of bounded size; each shard is one pass over the texts with a
 broadcast index, so any number of items works.
@@ -42,7 +45,10 @@ NARROWEST = 64  # words of an item up to which windows have 128
 STRETCH = 1 << 20  # characters of a text looked at together
 WORD = re.compile(r"[^\W_]+")
 SENTENCE_END = r"[.?!]\s+(?=[^.?!]*[.?!]?\s*$)"
-FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, at_word long"
+TELLING = 4  # words from which a part has to be there by itself
+FOUND = (
+    "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, at_word long, in_order double"
+)
 
 
 def words_of(text: str) -> list[str]:
@@ -69,11 +75,48 @@ def overlap(part: set[tuple[str, ...]], passage: list[str]) -> float:
     return len(part & there) / len(part)
 
 
+def edits_of(part: list[str], passage: list[str]) -> int:
+    """Fewest words to change, add or leave out to make ``part`` of some stretch of ``passage``.
+
+    Myers' bit vectors, a bit for each word of the part.
+    """
+    if not part:
+        return 0
+    masks: dict[str, int] = defaultdict(int)
+    for n, word in enumerate(part):
+        masks[word] |= 1 << n
+    every, last = (1 << len(part)) - 1, 1 << len(part) - 1
+    up, down, edits = every, 0, len(part)
+    fewest = edits
+    for word in passage:
+        same = masks.get(word, 0)
+        across = (((same & up) + up) ^ up) | same | down
+        more, less = down | ~(across | up) & every, up & across
+        edits += bool(more & last) - bool(less & last)
+        more, less = more << 1, less << 1
+        up = (less | ~(same | down | more)) & every
+        down = more & (same | down)
+        fewest = min(fewest, edits)
+    return fewest
+
+
+def allowed(n_words: int, least: float) -> int:
+    """Edits that a part may have by itself: the share, or up to three of its words but half of them at
+    most; a part of a few words tells nothing by itself and counts only in the edits of the whole item."""
+    if n_words < TELLING:
+        return n_words
+    return max(int((1 - least) * n_words + 1e-9), min(3, n_words // 2))
+
+
 class ItemIndex:
     """Inverted index with block maxima of items of one length class."""
 
-    def __init__(self, items: list[tuple[int, str, str]], idf: dict[str, float], mean_words: float, window: int):
-        self.window = window
+    def __init__(
+        self, items: list[tuple[int, str, str]], idf: dict[str, float], mean_words: float, window: int, least: float = OVERLAP
+    ):
+        self.window, self.least = window, least
+        self.margin = 0  # words that an admitted copy may reach beyond a window
+        self.words, self.lifted = [], []
         self.ids = [i for i, _, _ in items]
         self.parts = []
         lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
@@ -84,8 +127,19 @@ class ItemIndex:
             norm = K1 * (1 - B + B * sum(counts.values()) / mean_words)
             scores = {t: idf[t] * n * (K1 + 1) / (n + norm) for t, n in counts.items()}
             whole = sum(scores.values())
+            n_words = sum(counts.values())
+            edits = int((1 - least) * n_words + 1e-9)
+            self.margin = max(self.margin, edits)
+            # An edit loses one word, a term goes when all of its words do: the costliest loss.
+            lost, left = 0.0, edits
+            for term in sorted(counts, key=lambda t: -scores[t] / counts[t]):
+                lost += scores[term] * min(1.0, left / counts[term])
+                left -= min(left, counts[term])
+            lift = max(1.0, THRESHOLD / (1 - lost / whole)) if lost < whole else 1.0
+            self.words.append((q, [] if question == answer else a, edits))
+            self.lifted.append(lift)
             for term, score in scores.items():
-                lists[term].append((place, score / whole))
+                lists[term].append((place, lift * score / whole))
         self.number = {t: n for n, t in enumerate(lists)}
         self.postings = [([p for p, _ in own], [s for _, s in own]) for own in lists.values()]
         self.most = np.array([max(s) for _, s in self.postings])
@@ -182,15 +236,29 @@ class ItemIndex:
                 if cursor[0] < target:
                     advance(cursor, target)
 
-    def search(self, words: list[str], first: int) -> Iterator[tuple[int, float, float, float, int]]:
-        """(item_id, score, question overlap, answer overlap, at word) for the passages of ``words``."""
+    def in_order(self, place: int, passage: list[str]) -> float:
+        """Share of an item's words in the passage in their order; 0 if it has more edits than it may."""
+        question, answer, most = self.words[place]
+        here = edits_of(question, passage)
+        if here > min(most, allowed(len(question), self.least)):
+            return 0.0
+        there = edits_of(answer, passage)
+        if here + there > most or there > allowed(len(answer), self.least):
+            return 0.0
+        return 1 - (here + there) / (len(question) + len(answer))
+
+    def search(self, words: list[str], first: int) -> Iterator[tuple[int, float, float, float, int, float]]:
+        """(item_id, score, question overlap, answer overlap, at word, in order) for the passages of ``words``."""
         get = self.number.get
         terms = np.array([get(w, -1) for w in words], dtype=np.int64)
         for start, distinct, ranges in self.live_ranges(terms, len(words)):
             passage = words[start : start + self.window]
+            # An edited copy may be longer than its item.
+            wider = words[max(0, start - self.margin) : start + self.window + self.margin]
             for place, score in self.retrieve(distinct, THRESHOLD - 1e-9, ranges):
-                question, answer = self.parts[place]
-                yield self.ids[place], score, overlap(question, passage), overlap(answer, passage), first + start
+                question, answer = (overlap(part, passage) for part in self.parts[place])
+                share = self.in_order(place, wider)
+                yield self.ids[place], score / self.lifted[place], question, answer, first + start, share
 
 
 def window_of(n_words: int) -> int:
@@ -207,17 +275,22 @@ def stretches(text: str) -> Iterator[str]:
     yield text[start:]
 
 
-def passages_of(index: ItemIndex, text: str) -> Iterator[tuple[int, float, float, float, int]]:
-    """All finds in a text; from stretch to stretch the last window is carried over."""
+def finds_of(index: ItemIndex, text: str) -> Iterator[tuple[int, float, float, float, int, float]]:
+    """All finds in a text; from stretch to stretch the last window and half a one before are carried over."""
     words: list[str] = []
     first, step = 0, index.window // 2
     for stretch in stretches(text):
         words += words_of(stretch)
         yield from index.search(words, first)
-        done = max(0, (len(words) - index.window) // step) * step
+        done = max(0, (len(words) - index.window) // step - 1) * step
         words, first = words[done:], first + done
 
 
+def passages_of(index: ItemIndex, text: str) -> Iterator[tuple[int, float, float, float, int]]:
+    """The finds without their share in order."""
+    return (find[:5] for find in finds_of(index, text))
+
+
 def item_terms(items: DataFrame) -> DataFrame:
     """(item_id, term, shard_words) of the distinct terms of every item."""
 
@@ -237,7 +310,12 @@ def item_terms(items: DataFrame) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least: float = OVERLAP) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap, at_word): items that a text holds.
+    """(doc_id, item_id, score, question_overlap, answer_overlap, at_word, in_order): items that a text holds.
+
+    The overlaps are shares of shingles, ``in_order`` the share of the item's words in their
+    order (0 if there are too many edits); either can hold the item.  A question without its
+    answer is no item, unless the answer has less than ``TELLING`` words.
+
 
     ``items`` is (item_id, question, answer); equal ones stand for a text that is not cut.
     Case, punctuation and white space do not count.  One row for a document and item, the
@@ -281,7 +359,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = OVERLAP) -> D
         return spark.createDataFrame([], FOUND)
     found = reduce(DataFrame.unionByName, passes)
     best = Window.partitionBy("doc_id", "item_id").orderBy(
-        F.desc(F.col("question_overlap") + F.col("answer_overlap")), F.desc("score"), "at_word"
+        F.desc(F.col("question_overlap") + F.col("answer_overlap")), F.desc("in_order"), F.desc("score"), "at_word"
     )
     return found.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
 
@@ -291,20 +369,20 @@ def _searched(texts: DataFrame, classes: dict, idf: dict[str, float], mean: floa
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, frequencies, mean_words = shared.value
-        indexes = [ItemIndex(some, frequencies, mean_words, window) for window, some in own.items()]
+        indexes = [ItemIndex(some, frequencies, mean_words, window, least) for window, some in own.items()]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 best: dict[int, tuple] = {}
                 for index in indexes:
-                    for item, score, question, answer, at in passages_of(index, text.as_py()):
-                        if question >= least and answer >= least:
-                            ranked = (question + answer, score, -at)
+                    for item, score, question, answer, at, share in finds_of(index, text.as_py()):
+                        if question >= least and answer >= least or share > 0:
+                            ranked = (question + answer, share, score, -at)
                             if item not in best or ranked > best[item][0]:
-                                best[item] = (ranked, (doc_id, item, score, question, answer, at))
+                                best[item] = (ranked, (doc_id, item, score, question, answer, at, share))
                 rows += [row for _, row in best.values()]
-            columns = zip(*rows) if rows else [()] * 6
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+            columns = zip(*rows) if rows else [()] * 7
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
             names = [f.split()[0] for f in FOUND.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 

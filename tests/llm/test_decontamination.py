@@ -84,3 +84,52 @@ def test_question_and_answer(spark):
     q, a = D.question_and_answer(F.col("text"))
     got = {tuple(r) for r in rows.select(q, a).collect()}
     assert got == {("One two. Three four", "Five."), ("Only one", "Only one"), ("A", "B")}
+
+
+def fewest_edits(part, words):
+    """Plain table of edit distances; a stretch may start and end anywhere."""
+    row = [0] * (len(words) + 1)
+    for n, word in enumerate(part, 1):
+        above, row = row, [n]
+        for k, other in enumerate(words, 1):
+            row.append(min(above[k - 1] + (word != other), above[k] + 1, row[-1] + 1))
+    return min(row)
+
+
+def test_edits_against_the_plain_table(prose):
+    rng = random.Random(4)
+    for _ in range(300):
+        part, words = (rng.choices("abcd", k=rng.randint(0, most)) for most in (12, 40))
+        assert D.edits_of(part, words) == fewest_edits(part, words)
+
+
+def test_copies_with_changed_words_against_brute_force(spark, make_docs, prose):
+    rng = random.Random(11)
+    parts = [(prose(i, rng.randint(14, 45)), prose(i + 500, rng.randint(1, 9))) for i in range(1, 25)]
+    items = items_frame(spark, [(i, q, a) for i, (q, a) in enumerate(parts)])
+    rows, planted = [], {}
+    for i, (q, a) in enumerate(parts):
+        for edits in (1, 2, 3):
+            words = f"{q} {a}".split()
+            for at in rng.sample(range(len(words)), edits):
+                kind = rng.randrange(3)
+                words[at] = (f"zz{at}", f"{words[at]} zz{at}", "")[kind]
+            doc = 100 * edits + i
+            planted[doc] = i
+            rows.append((doc, f"{prose(doc + 3000, rng.randint(0, 260))} {' '.join(words)} {prose(doc + 6000, 90)}"))
+    for i, (q, a) in enumerate(parts):  # other answers, and other questions
+        rows += [(1000 + i, f"{q} {prose(i + 9000, 40)}"), (2000 + i, f"{prose(i + 9500, 40)} {a}")]
+    expected = set()
+    for doc, text in rows:
+        words = D.words_of(text)
+        for i, (q, a) in enumerate((D.words_of(q), D.words_of(a)) for q, a in parts):
+            here, there = fewest_edits(q, words), fewest_edits(a, words)
+            may = [len(p) if len(p) < 4 else max(len(p) // 5, min(3, len(p) // 2)) for p in (q, a)]
+            if here <= may[0] and there <= may[1] and here + there <= (len(q) + len(a)) // 5:
+                expected.add((doc, i))
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(make_docs(rows), items).collect()}
+    assert got == expected
+    assert sum((doc, i) in got for doc, i in planted.items()) >= 0.95 * len(planted)
+    assert not any(doc >= 2000 for doc, _ in got)
+    whole = {i for i, (_, a) in enumerate(parts) if len(a.split()) >= 4}
+    assert whole and not any(doc - 1000 in whole for doc, _ in got if doc >= 1000)

@@ -18,7 +18,7 @@ from pitchframe.llm.queries import benchmark_items
 from pitchframe.llm.token_files import read_token_files, write_token_files
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SCORE = 0.3  # of a language, for a text to be kept
+LEAST_KNOWN = 0.6  # of a text's words and long n-grams to its language, for it to be kept
 ROW = "_row"
 
 # Language ID learns from the data, which SQL cannot express.
@@ -35,7 +35,7 @@ def by_number(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject texts without letters and those that no learned language scores at LEAST_SCORE.
+    """Reject texts without letters and those of which the winning language knows less than LEAST_KNOWN.
 
     Where nothing could be learned, texts with a letter stay.
     """
@@ -43,8 +43,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(learnable(docs))
     if not model:
         return docs.where(F.rlike("text", F.lit(r"\p{L}")))
-    judged = predict(docs, model, COLUMNS)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    judged = predict(docs, model, COLUMNS, with_known=True)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("known") >= LEAST_KNOWN)).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,11 +9,18 @@ The lists come from a bounded sample: at most about ``SAMPLE_DOCS`` documents a
 drawn by a hash of doc_id, of which the ``WORDS`` most frequent words and the ``NGRAMS``
 most frequent n-grams of each length are kept.  So the model's size does not grow with the
 corpus; predictions cover whole texts of all rows.
+
+A text's score is a share among the learned languages and cannot say that it is in none of
+them.  ``known`` can, however many there are: the mean over its words of 1 for a word that
+the winning language lists, and else the share of the word's n-grams of ``TELLING``
+characters that it lists.  An item met as rarely as the rarest of a long list does not
+count, so that a sampled text does not vouch for itself.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from math import log, log10
@@ -29,6 +36,8 @@ SAMPLE_DOCS = 2_000
 WORDS = 20_000
 NGRAMS = 5_000
 LENGTHS = (1, 2, 3, 4, 5)
+TELLING = 4
+FEW = 1_000  # items of a list up to which all of them count as known
 PENALTY = 7.0
 CACHE_WORDS = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -102,11 +111,40 @@ class Backoff:
         for lang, length, item, score in rows:
             own = self.lists.setdefault(length, {}).setdefault(item, np.full(len(self.langs), PENALTY))
             own[column[lang]] = min(score, PENALTY)
+        sizes = np.zeros((max(LENGTHS) + 1, len(self.langs)), dtype=np.int64)
+        rarest = np.zeros(sizes.shape)
+        for lang, length, _, score in rows:
+            sizes[length, column[lang]] += 1
+            rarest[length, column[lang]] = max(rarest[length, column[lang]], score)
+        self.below = np.where(sizes > FEW, np.minimum(rarest, PENALTY) - 1e-9, PENALTY)
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.scores = np.zeros((1024, len(self.langs)))
+        self.told: dict[str, np.ndarray] = {}
+
+    def known(self, word: str) -> np.ndarray:
+        """By language 1 if it knows the word, else the share of its n-grams that it knows."""
+        padded = f" {word} "
+        length = min(TELLING, len(padded))
+        listed, grams = self.lists.get(length, {}), len(padded) - length + 1
+        found = [listed.get(padded[i : i + length]) for i in range(grams)]
+        shares = sum(((f < self.below[length]) for f in found if f is not None), np.zeros(len(self.langs))) / grams
+        whole = self.lists.get(0, {}).get(word)
+        return shares if whole is None else np.where(whole < self.below[0], 1.0, shares)
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """(language, score, known) of a text."""
+        lang, score = self.predict(text)
+        if lang == UNKNOWN:
+            return lang, score, 0.0
+        counts = Counter(words_of(text or ""))
+        for word in counts:
+            if word not in self.told:
+                self.told[word] = self.known(word)
+        at = self.langs.index(lang)
+        return lang, score, float(sum(n * self.told[w][at] for w, n in counts.items()) / counts.total())
 
     def score(self, word: str) -> np.ndarray:
         known = self.lists.get(0, {}).get(word)
@@ -141,25 +179,28 @@ class Backoff:
         return self.langs[int(means.argmin())], float(1 / odds.sum())
 
 
-def predict(docs: DataFrame, model: list[tuple[str, int, str, float]], keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred and score (0 to 1), from ``text`` alone.
+def predict(docs: DataFrame, model: list[tuple[str, int, str, float]], keep: list[str], with_known: bool = False) -> DataFrame:
+    """``keep`` columns of ``docs`` with lang_pred and score (0 to 1; and known), from ``text`` alone.
 
     A null text, or one without letters, is ``und`` with score 0, and so is every text if
     nothing was learned; level languages go to the first by code point.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    judge = Backoff.judge if with_known else Backoff.predict
+    names = ["lang_pred", "score", "known"][: 2 + with_known]
+    types = [pa.string(), pa.float64(), pa.float64()][: 2 + with_known]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Backoff(shared.value)
         for batch in batches:
-            found = [own.predict(t.as_py()) for t in batch.column("_text")]
+            found = [judge(own, t.as_py()) for t in batch.column("_text")]
             columns = [batch.column(k) for k in keep]
-            columns += [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
+            columns += [pa.array([f[n] for f in found], kind) for n, kind in enumerate(types)]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]
-    return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", *[f"{n} double" for n in names[1:]]]))
 
 
 def learnable(docs: DataFrame, held_out: Column | None = None) -> DataFrame:

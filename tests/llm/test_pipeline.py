@@ -69,3 +69,28 @@ def test_null_and_repeated_rows_go_through(spark, make_docs, awkward, tmp_path):
         out = P.run(spark, str(folder)).collect()
         assert {r["doc_id"] for r in out} <= {r[0] for r in rows}
         assert not rows or 4 in {r["doc_id"] for r in out} and 5 not in {r["doc_id"] for r in out}
+
+
+FOREIGN = [
+    "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita.",
+    "Litwo, ojczyzno moja, ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie, kto cię stracił.",
+    "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.",
+    "道可道 非常道 名可名 非常名 无名天地之始 有名万物之母",
+    "Het was een koude dag in april en de klokken sloegen dertien uur toen hij door de deur naar binnen ging.",
+    "xkcd qwrtz bnmpl ghjkv zxcvb mnbtr plkjh gfdsq wrtpz kjhgf dsqwr tpzxc vbnml",
+    "ivqou wxeyab kuzoj pafyqe tugwiz oxomeh yqibud zevkoa juwipy qaxofe",
+]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+@pytest.mark.parametrize("langs, label", [(["en"], "en"), (["en", "fr", "es", "de"], None)])
+def test_foreign_and_junk_texts_go_however_many_languages(spark, langs, label):
+    tables = "/root/testdata/sf0.01"
+    clean = spark.read.parquet(f"{tables}/documents.parquet").select(*P.COLUMNS).where(P.F.col("lang").isin(langs))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(-1 - n, text, label, "s", len(text)) for n, text in enumerate(FOREIGN)]
+    docs = clean.unionByName(spark.createDataFrame(rows, schema))
+    kept = {r["doc_id"] for r in P.language(spark, docs, tables).select("doc_id").collect()}
+    assert not [FOREIGN[-1 - i] for i in kept if i < 0]
+    texts = {r["doc_id"] for r in clean.collect() if re.search(r"[^\W\d_]", r["text"] or "")}
+    assert len(texts - kept) <= 0.002 * len(texts)

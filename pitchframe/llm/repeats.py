@@ -10,6 +10,12 @@ string into one shard, and every occurrence lies in exactly one segment.  Minimi
 occur once are dropped first (4 bytes each decide it), and only the segments of the others
 travel, each different one once per pack of documents, with its smallest doc_id.
 
+Hot minimizers.  A phrase that is the minimizer of different text in very many documents would
+bring them all to one shard.  Segments of a minimizer that occurs more than ``HOT`` times do not
+travel: each of their strings is dealt by its own digest (128 bits), with its smallest doc_id.
+Equal strings have equal minimizers, so all occurrences of a string go the same way, and only
+equal strings meet by necessity.
+
 Index.  A shard joins its different segments to one text, sorts its suffixes by prefix
 doubling and builds the Burrows-Wheeler transform by runs.  Match lengths with the suffix
 before are computed at the run heads alone; from these samples they stream over the text,
@@ -18,8 +24,10 @@ Suffixes in order that match in LENGTH bytes or more are the occurrences of one
 the smallest doc_id among them goes back to every segment of every pack.
 
 Packs are about 2 MB of whole documents, a very long document is one by itself, and shards
-are as many as the corpus asks for, so no task's memory grows with the corpus.  A string
-that stands in every document costs its shard one segment a pack.
+are as many as the corpus asks for.  What a shard holds of one minimizer is bounded by ``HOT``
+different segments.  What still grows with the corpus in one task: a string that stands in
+every document costs its shard one segment or digest a pack, and a minimizer costs 4 bytes
+for each of its occurrences while they are counted.
 """
 
 from __future__ import annotations
@@ -41,6 +49,8 @@ KMER = 24
 PACK = 1 << 21  # bytes of whole documents packed together
 SHARD = 1 << 21  # bytes of corpus per shard
 PART = 1 << 20  # bytes of a pack whose segments are found together
+HOT = 1 << 12  # segments of a minimizer from which their strings are dealt one by one
+DIGEST = 16
 SYMBOLS = 7  # of 9 bits in one sort key
 NOBODY = np.iinfo(np.int64).max  # stands for a null doc_id: smaller than none
 PACKS = "pack long, n_bytes long, doc_ids binary, sizes binary, payload binary"
@@ -95,13 +105,54 @@ class Segments:
         found = [_segments(data, doc_of, a, length, kmer) for a in range(0, max(1, len(data) - length + 1), PART)]
         self.start, self.n, self.hash, self.name = (np.concatenate(c) for c in zip(*found))
         self.doc = doc_ids[doc_of[self.start]] if len(self.start) else np.zeros(0, dtype=np.int64)
+        self.hot = np.zeros(len(self.start), dtype=bool)
 
     def shards(self, bits: int) -> np.ndarray:
         return (self.hash >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(self.hash), dtype=np.int64)
 
     def keep(self, mask: np.ndarray) -> None:
         self.start, self.n, self.hash = self.start[mask], self.n[mask], self.hash[mask]
-        self.name, self.doc = self.name[mask], self.doc[mask]
+        self.name, self.doc, self.hot = self.name[mask], self.doc[mask], self.hot[mask]
+
+    def take_hot(self, data: np.ndarray, length: int, bits: int) -> "Strings":
+        """The strings of the hot segments, which are dropped here."""
+        n = self.n[self.hot]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at, doc = np.repeat(self.start[self.hot], n) + inner, np.repeat(self.doc[self.hot], n)
+        self.keep(~self.hot)
+        return Strings(data, at, doc, length, bits)
+
+
+class Strings:
+    """Strings of a pack dealt one by one: ``at``, ``doc``; by shard and digest the different ones with
+    their smallest doc, in an order that only the pack's content decides."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int, bits: int):
+        self.at, self.doc = at, doc
+        raw = data.tobytes() if len(at) else b""
+        digests = b"".join([hashlib.blake2b(raw[a : a + length], digest_size=DIGEST).digest() for a in at.tolist()])
+        names, self.which = _different_digests(digests)
+        self.names = names
+        self.least = np.full(len(names), NOBODY)
+        np.minimum.at(self.least, self.which, doc)
+        first = np.frombuffer(names.tobytes(), dtype=">u8")[::2].astype(np.uint64)
+        # Digests are in order, so those of a shard follow each other.
+        self.shard = (first >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(names), dtype=np.int64)
+
+    def by_shard(self) -> Iterator[tuple[int, np.ndarray]]:
+        return _by_shard(self.shard)
+
+
+def _different_digests(digests: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The different digests in the order of their bytes, and of each digest its place among them."""
+    halves = np.frombuffer(digests, dtype=">u8").reshape(-1, 2).astype(np.uint64)
+    order = np.lexsort((halves[:, 1], halves[:, 0]))
+    ranked = halves[order]
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (ranked[1:] != ranked[:-1]).any(axis=1)
+    which = np.empty(len(order), dtype=np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    return ranked[fresh].astype(">u8"), which
 
 
 def _segments(data: np.ndarray, doc_of: np.ndarray, first: int, length: int, kmer: int) -> tuple[np.ndarray, ...]:
@@ -152,11 +203,14 @@ def _by_shard(shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _only_repeated(segments: Segments, bits: int, flags: list[dict] | None) -> None:
-    """Drop the segments whose minimizer occurs once, by the flags of every shard."""
+    """Drop the segments whose minimizer occurs once and mark the hot ones, by the flags of every shard."""
     mask = np.zeros(len(segments.hash), dtype=bool)
-    known = {f["shard"]: f["flags"] for f in flags or []}
+    known = {f["shard"]: f for f in flags or []}
     for shard, places in _by_shard(segments.shards(bits)):
-        mask[places] = np.unpackbits(np.frombuffer(known[shard], dtype=np.uint8), count=len(places)).astype(bool)
+        own = known[shard]
+        mask[places] = np.unpackbits(np.frombuffer(own["flags"], dtype=np.uint8), count=len(places)).astype(bool)
+        if own["hot"]:
+            segments.hot[places] = np.unpackbits(np.frombuffer(own["hot"], dtype=np.uint8), count=len(places)).astype(bool)
     segments.keep(mask)
 
 
@@ -167,8 +221,8 @@ def _different(segments: Segments, bits: int) -> Iterator[tuple[int, np.ndarray,
         yield shard, places[first], np.stack([places, which])
 
 
-def repeated_minimizers(packs: DataFrame, bits: int, length: int, kmer: int) -> DataFrame:
-    """(pack, all): for every pack the flags (shard, bits) of its segments in order."""
+def repeated_minimizers(packs: DataFrame, bits: int, length: int, kmer: int, hot: int) -> DataFrame:
+    """(pack, all): for every pack the flags (shard, bits, bits of the hot) of its segments in order."""
 
     def marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,13 +237,16 @@ def repeated_minimizers(packs: DataFrame, bits: int, length: int, kmer: int) ->
     def flag(table: pa.Table) -> pa.Table:
         own = [np.frombuffer(m, dtype=np.uint32) for m in table["marks"].to_pylist()]
         _, which, counts = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-        again = np.split(counts[which] > 1, np.cumsum([len(m) for m in own])[:-1])
-        return table.select(["pack", "shard"]).append_column("flags", pa.array([np.packbits(a).tobytes() for a in again], pa.binary()))
+        cuts = np.cumsum([len(m) for m in own])[:-1]
+        again = [np.packbits(a).tobytes() for a in np.split(counts[which] > 1, cuts)]
+        often = [np.packbits(a).tobytes() if a.any() else b"" for a in np.split(counts[which] > hot, cuts)]
+        out = table.select(["pack", "shard"]).append_column("flags", pa.array(again, pa.binary()))
+        return out.append_column("hot", pa.array(often, pa.binary()))
 
     drawn = packs.mapInArrow(marks, "shard int, pack long, marks binary")
-    flagged = drawn.groupBy("shard").applyInArrow(flag, "pack long, shard int, flags binary")
+    flagged = drawn.groupBy("shard").applyInArrow(flag, "pack long, shard int, flags binary, hot binary")
     # One entry a shard: bounded by the pack.
-    return flagged.groupBy("pack").agg(F.collect_list(F.struct("shard", "flags")).alias("all"))
+    return flagged.groupBy("pack").agg(F.collect_list(F.struct("shard", "flags", "hot")).alias("all"))
 
 
 def sorted_suffixes(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -302,16 +359,20 @@ def holders_by_pack(packs: DataFrame, bits: int, length: int, kmer: int) -> Data
             for row in batch.to_pylist():
                 data, _, _, segments = _opened(row, length, kmer)
                 _only_repeated(segments, bits, row["all"])
+                strings = segments.take_hot(data, length, bits)
+                alone = {shard: (strings.names[p].tobytes(), strings.least[p].tobytes()) for shard, p in strings.by_shard()}
                 rows = []
                 for shard, first, pairs in _different(segments, bits):
                     least = np.full(len(first), NOBODY)
                     np.minimum.at(least, pairs[1], segments.doc[pairs[0]])
                     sizes = (segments.n[first] + length - 1).astype(np.int64)
                     whole = b"".join([data[s : s + n].tobytes() for s, n in zip(segments.start[first].tolist(), sizes.tolist())])
-                    rows.append((shard, row["pack"], least.tobytes(), sizes.astype(np.uint16).tobytes(), squeeze(whole)))
-                columns = zip(*rows) if rows else [()] * 5
-                types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                names = ["shard", "pack", "holders", "sizes", "payload"]
+                    own = (least.tobytes(), sizes.astype(np.uint16).tobytes(), squeeze(whole))
+                    rows.append((shard, row["pack"], *own, *alone.pop(shard, (b"", b""))))
+                rows += [(shard, row["pack"], b"", b"", squeeze(b""), *own) for shard, own in alone.items()]
+                columns = zip(*rows) if rows else [()] * 7
+                types = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+                names = ["shard", "pack", "holders", "sizes", "payload", "strings", "string_holders"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     def index(table: pa.Table) -> pa.Table:
@@ -329,21 +390,38 @@ def holders_by_pack(packs: DataFrame, bits: int, length: int, kmer: int) -> Data
                     least[n] = holder
                 own.append(n)
             of_pack.append(own)
-        found = smallest_holders(list(number), np.array(least, dtype=np.int64), length)
-        out = [squeeze(np.concatenate([found[n] for n in own]).tobytes()) for own in of_pack]
-        return table.select(["pack", "shard"]).append_column("found", pa.array(out, pa.binary()))
-
-    drawn = packs.mapInArrow(contents, "shard int, pack long, holders binary, sizes binary, payload binary")
-    found = drawn.groupBy("shard").applyInArrow(index, "pack long, shard int, found binary")
-    return found.groupBy("pack").agg(F.collect_list(F.struct("shard", "found")).alias("found"))
+        found = smallest_holders(list(number), np.array(least, dtype=np.int64), length) if number else []
+        none = np.zeros(0, dtype=np.int64)
+        out = [squeeze(np.concatenate([none, *[found[n] for n in own]]).tobytes()) for own in of_pack]
+        names = table["strings"].to_pylist()
+        _, which = _different_digests(b"".join(names))
+        holders = np.frombuffer(b"".join(table["string_holders"].to_pylist()), dtype=np.int64)
+        smallest = np.full(which.max(initial=-1) + 1, NOBODY)
+        np.minimum.at(smallest, which, holders)
+        cuts = np.cumsum([len(n) // DIGEST for n in names])[:-1]
+        alone = [squeeze(a.tobytes()) if len(a) else b"" for a in np.split(smallest[which], cuts)]
+        given = table.select(["pack", "shard"]).append_column("found", pa.array(out, pa.binary()))
+        return given.append_column("strings", pa.array(alone, pa.binary()))
+
+    columns = "holders binary, sizes binary, payload binary, strings binary, string_holders binary"
+    drawn = packs.mapInArrow(contents, f"shard int, pack long, {columns}")
+    found = drawn.groupBy("shard").applyInArrow(index, "pack long, shard int, found binary, strings binary")
+    return found.groupBy("pack").agg(F.collect_list(F.struct("shard", "found", "strings")).alias("found"))
 
 
 def _cut(row: dict, bits: int, length: int, kmer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(data, doc_ids, sizes, mask of removed bytes) of a pack."""
     data, doc_ids, sizes, segments = _opened(row, length, kmer)
     _only_repeated(segments, bits, row["all"])
+    strings = segments.take_hot(data, length, bits)
     steps = np.zeros(len(data) + 1, dtype=np.int32)
     known = {f["shard"]: f["found"] for f in row["found"] or []}
+    alone = {f["shard"]: f["strings"] for f in row["found"] or []}
+    if len(strings.at):
+        least = np.concatenate([np.frombuffer(unsqueeze(alone[shard]), dtype=np.int64) for shard, _ in strings.by_shard()])
+        goes = strings.at[least[strings.which] < strings.doc]
+        np.add.at(steps, goes, 1)
+        np.add.at(steps, goes + length, -1)
     for shard, first, (places, which) in _different(segments, bits):
         holders = np.frombuffer(unsqueeze(known[shard]), dtype=np.int64)
         offsets = np.cumsum(segments.n[first]) - segments.n[first]
@@ -356,7 +434,7 @@ def _cut(row: dict, bits: int, length: int, kmer: int) -> tuple[np.ndarray, np.n
     return data, doc_ids, sizes, np.cumsum(steps[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left).
 
     Texts count as UTF-8 bytes, a null text as none; matches never cross documents, and a
@@ -369,7 +447,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     packs = settle(make_packs(texts), "packs")
     total = packs.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(0, -(-total // SHARD) - 1).bit_length()
-    flags = settle(repeated_minimizers(packs, bits, length, kmer), "flags")
+    flags = settle(repeated_minimizers(packs, bits, length, kmer, hot), "flags")
     flagged = packs.join(flags, "pack", "left")
     found = settle(holders_by_pack(flagged.select("pack", "doc_ids", "sizes", "payload", "all"), bits, length, kmer), "holders")
 

@@ -76,3 +76,27 @@ def test_packs_and_parts_change_nothing(make_docs, prose, monkeypatch):
     whole = segments(data, doc_of, 0, 50, 24)
     assert whole[1].sum() == len(text) - 49
     assert sorted(map(tuple, remove_repeats(make_docs(rows)).collect()), key=str) == brute(rows, 50)
+
+
+def test_a_phrase_in_different_text_fills_no_shard(make_docs, prose, monkeypatch):
+    monkeypatch.setattr(repeats, "SHARD", 1 << 12)
+    rng = random.Random(5)
+    phrase = "this very phrase stands in every document, always"
+    rows = [(i, f"{prose(i, 20)} {phrase} {prose(i + 4000, 12)}") for i in range(150)]
+    # Strings with the phrase that do repeat, whatever side they reach out to.
+    for i in range(150, 190):
+        given, at = rows[rng.randrange(150)][1], rng.randint(1, 60)
+        rows.append((i, f"{prose(i, 9)} {given[at : at + rng.randint(50, 190)]}"))
+    rows += [(500, phrase * 5), (501, phrase * 4), (None, rows[7][1])]
+    docs = make_docs(rows)
+    assert sorted(map(tuple, remove_repeats(docs, hot=20).collect()), key=str) == brute(rows, 50)
+    packs = repeats.make_packs(docs.select("doc_id", "text")).localCheckpoint()
+    flags = repeats.repeated_minimizers(packs, 3, 50, 24, 20)
+    held, strings = {}, 0
+    for row in packs.join(flags, "pack", "left").collect():
+        data, _, _, segments = repeats._opened(row, 50, 24)
+        repeats._only_repeated(segments, 3, row["all"])
+        strings += len(segments.take_hot(data, 50, 3).at)
+        for minimizer in segments.hash.tolist():
+            held[minimizer] = held.get(minimizer, 0) + 1
+    assert strings > 1000 and max(held.values()) <= 20

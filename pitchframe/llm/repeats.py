@@ -1,4 +1,4 @@
-"""Removal of repeated passages over a run-length index, sharded by content.
+"""Removal of repeated passages over suffix arrays, sharded by content.
 
 A byte goes if it is covered by a string of ``LENGTH`` bytes that also starts in a document
 with a smaller doc_id.
@@ -17,7 +17,8 @@ Equal strings have equal minimizers, so all occurrences of a string go the same
 equal strings meet by necessity.
 
 Index.  A shard joins its different segments to one text, sorts its suffixes by prefix
-doubling and builds the Burrows-Wheeler transform by runs.  Match lengths with the suffix
+doubling and finds where the runs of the Burrows-Wheeler transform begin.  The array is whole:
+memory follows the different bytes of a shard and not runs.  Match lengths with the suffix
 before are computed at the run heads alone; from these samples they stream over the text,
 one less from each position to the next (within a run the preceding characters agree).
 Suffixes in order that match in LENGTH bytes or more are the occurrences of one string, and

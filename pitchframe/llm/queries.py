@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pitchframe.llm import sql
 from pitchframe.llm.common import new_path, table
+from pitchframe.llm.conversations import repair_conversations
 from pitchframe.llm.decontamination import contaminated, question_and_answer
 from pitchframe.llm.exact_dedup import exact_dedup
 from pitchframe.llm.language_id import identify_languages
@@ -99,6 +100,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
@@ -110,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "op8_near_dups": op8_near_dups,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = sql.STATEMENTS

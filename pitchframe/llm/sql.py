@@ -188,3 +188,67 @@ every AS (SELECT * FROM hits WHERE share >= 0.8 UNION ALL SELECT * FROM short_hi
 SELECT q.doc_id, q.item_id, round(q.share, 6) AS question_overlap, round(a.share, 6) AS answer_overlap
 FROM every q JOIN every a ON q.doc_id = a.doc_id AND q.item_id = a.item_id AND q.part = 'q' AND a.part = 'a'
 """
+
+STATEMENTS["op13_conversation_repair"] = r"""
+WITH RECURSIVE keyed AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce([4294967295] || list_transform(range(8 * length(key)), lambda i:
+               CAST(ascii(substr(key, CAST(i // 8 + 1 AS BIGINT), 1)) AS BIGINT) >> CAST(i % 8 AS BIGINT) & 1),
+             lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) % 20 AS kind
+  FROM keyed),
+conv AS (SELECT conv_id, row_number() OVER () AS conv_no FROM (SELECT DISTINCT conv_id FROM conversations) x),
+damaged AS (
+  SELECT conv_no, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed JOIN conv ON hashed.conv_id IS NOT DISTINCT FROM conv.conv_id),
+numbered AS (
+  SELECT *, row_number() OVER w AS i, lag(substr(role, 1, 1)) OVER w || substr(role, 1, 1) AS pair
+  FROM damaged
+  WINDOW w AS (PARTITION BY conv_no ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy)),
+faults AS (
+  SELECT conv_no, turn, i, role, text, pair,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_no, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM numbered),
+ins(q, q2, letters, cost, turns) AS (
+  VALUES (0, 0, '', 0, ''), (1, 1, '', 0, ''), (2, 2, '', 0, ''), (3, 3, '', 0, ''),
+         (0, 2, 'I', 5, chr(10) || 'user:'), (1, 2, 'I', 5, chr(10) || 'user:'),
+         (0, 3, 'II', 10, chr(10) || 'user:' || chr(10) || 'assistant:'),
+         (1, 3, 'II', 10, chr(10) || 'user:' || chr(10) || 'assistant:'),
+         (2, 3, 'I', 5, chr(10) || 'assistant:'), (3, 2, 'I', 5, chr(10) || 'user:')),
+edits(q, q2, letter, initial, new_role, cost) AS (
+  VALUES (0, 0, 'D', '', '', 2), (1, 1, 'D', '', '', 2), (2, 2, 'D', '', '', 2), (3, 3, 'D', '', '', 2),
+         (0, 1, 'K', 's', '', 0), (0, 2, 'K', 'u', '', 0), (1, 2, 'K', 'u', '', 0), (3, 2, 'K', 'u', '', 0),
+         (2, 3, 'K', 'a', '', 0),
+         (0, 2, 'R', '', 'user', 1), (1, 2, 'R', '', 'user', 1), (3, 2, 'R', '', 'user', 1), (2, 3, 'R', '', 'assistant', 1)),
+paths AS (
+  SELECT conv_no, CAST(0 AS BIGINT) AS i, 0 AS q, {'cost': 0, 'audit': '', 'kept': ''} AS best FROM conv
+  UNION ALL
+  SELECT conv_no, i, q2, best FROM (
+    SELECT p.conv_no, f.i, e.q2, min({
+             'cost': p.best.cost + n.cost + e.cost + CASE WHEN fault = 'truncated' AND letter <> 'D' THEN 5 ELSE 0 END,
+             'audit': p.best.audit || n.letters || e.letter,
+             'kept': p.best.kept || n.turns || CASE letter WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || f.role || ':' || f.text
+                     ELSE chr(10) || e.new_role || ':' || f.text END}) AS best
+    FROM paths p JOIN faults f ON p.conv_no = f.conv_no AND p.i + 1 = f.i
+    JOIN ins n ON p.q = n.q JOIN edits e ON n.q2 = e.q
+    WHERE letter = 'D' OR fault NOT IN ('blank', 'duplicate') AND (letter = 'R' OR substr(f.role, 1, 1) = e.initial)
+    GROUP BY p.conv_no, f.i, e.q2) x),
+counts AS (
+  SELECT conv_no, COUNT(*) AS n, coalesce(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps,
+         COUNT(*) FILTER (fault = 'blank') AS blank, COUNT(*) FILTER (fault = 'duplicate') AS duplicate,
+         COUNT(*) FILTER (fault = 'truncated') AS truncated, COUNT(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_no),
+ends AS (
+  SELECT p.conv_no, min({'cost': p.best.cost + n.cost, 'audit': p.best.audit || n.letters, 'kept': p.best.kept || n.turns}) AS best
+  FROM paths p JOIN ins n ON p.q = n.q AND n.q2 IN (0, 3)
+  LEFT JOIN counts ON p.conv_no = counts.conv_no
+  WHERE p.i = coalesce(counts.n, 0) GROUP BY p.conv_no)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(best.cost AS BIGINT) AS cost,
+       best.audit AS audit, sha256(substr(best.kept, 2)) AS repaired_sha256
+FROM conv JOIN ends ON conv.conv_no = ends.conv_no LEFT JOIN counts ON conv.conv_no = counts.conv_no
+"""

@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchframe.llm import sql
+from pitchframe.llm.alignment import align_tokens
 from pitchframe.llm.common import new_path, table
 from pitchframe.llm.conversations import repair_conversations
 from pitchframe.llm.decontamination import contaminated, question_and_answer
 from pitchframe.llm.exact_dedup import exact_dedup
+from pitchframe.llm.inner_products import top_inner_products
 from pitchframe.llm.language_id import identify_languages
 from pitchframe.llm.mixing import mix
 from pitchframe.llm.near_dups import near_duplicates
@@ -100,6 +102,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align_tokens(table(spark, sf_dir, "documents"), *paths)
+
+
+def op12_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"), every=100, k=10, scale=1024.0)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(table(spark, sf_dir, "conversations"))
 
@@ -115,6 +126,8 @@ QUERIES: dict[str, Query] = {
     "op8_near_dups": op8_near_dups,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_inner_products": op12_inner_products,
     "op13_conversation_repair": op13_conversation_repair,
 }
 

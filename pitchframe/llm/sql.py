@@ -252,3 +252,18 @@ SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce
        best.audit AS audit, sha256(substr(best.kept, 2)) AS repaired_sha256
 FROM conv JOIN ends ON conv.conv_no = ends.conv_no LEFT JOIN counts ON conv.conv_no = counts.conv_no
 """
+
+STATEMENTS["op12_inner_products"] = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS no, vec_id,
+         list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.no, q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: coalesce(z[1] * z[2], 0))) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.no <> c.no WHERE q.vec_id % 100 = 0),
+r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY no ORDER BY score DESC, vec_id NULLS LAST) AS rank, vec_id, score FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""

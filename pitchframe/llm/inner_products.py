@@ -362,7 +362,8 @@ def top_inner_products(
     candidates = blocks.withColumns({"is_group": F.lit(False), "floors": F.lit(None).cast("array<double>")})
     top = groups.withColumns({"slice": F.lit(slices[0][0]), "floors": F.lit(None).cast("array<double>")})
     first = candidates.where((F.col("slice") == slices[0][0]) & (F.col("block") < FIRST))
-    seeds = _searched(top, first.join(top.select("group", "slice"), "slice"), rotation, k + 1, True)
+    by_block = top.select("group", F.explode(F.sequence(F.lit(0), F.lit(FIRST - 1))).alias("block"))
+    seeds = _searched(top, first.join(by_block, "block"), rotation, k + 1, True)
     seeded = settle(seeds, "seeds")
     cells = _cells(groups.join(seeded, "group"), slices)
     pairs = candidates.join(_cells(seeded.select("group", "least"), slices).select("group", "slice"), "slice")

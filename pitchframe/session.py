@@ -37,14 +37,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame, by: str = "season") -> DataFrame:
+def settle(df: DataFrame, by: str | None = "season") -> DataFrame:
     """Write a frame that is read many times (model training) and return it re-read.
 
     It lands as Parquet in the shared folder, in folders by ``by``, so later reads prune
     columns and folders and a lost executor costs a re-read and not a recomputation.
-    Adaptive execution cuts large folders and joins small ones (``REBALANCE``).
+    Adaptive execution cuts large folders and joins small ones (``REBALANCE``).  Without
+    ``by`` the parts stay as they are.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    if by is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     df.hint("rebalance", by).write.partitionBy(by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)

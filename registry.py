@@ -222,12 +222,12 @@ PLAIN: dict[str, Query] = {
     "walk_forward_rf_support": over_dataset(lambda d: support(walk_forward_report(d, lambda n, k: random_forest()))),
     "holdout_lr_calibration": over_dataset(calibration),
     "holdout_gbt_support": over_dataset(lambda d: support(holdout_report(d, lambda n, k: boosted_trees()))),
-    "holdout_mlp_support": over_dataset(lambda d: support(holdout_report(d, lambda n, k: neural_net(k)))),
+    "holdout_mlp_support": over_dataset(lambda d: support(holdout_report(d, lambda n, k: neural_net()))),
     "walk_forward_lr": over_dataset(lambda d: walk_forward_report(d, lambda n, k: logistic_regression(n))),
     "walk_forward_rf": over_dataset(lambda d: walk_forward_report(d, lambda n, k: random_forest())),
     "holdout_lr": over_dataset(lambda d: holdout_report(d, lambda n, k: logistic_regression(n))),
     "holdout_gbt": over_dataset(lambda d: holdout_report(d, lambda n, k: boosted_trees())),
-    "holdout_mlp": over_dataset(lambda d: holdout_report(d, lambda n, k: neural_net(k))),
+    "holdout_mlp": over_dataset(lambda d: holdout_report(d, lambda n, k: neural_net())),
 }
 
 

@@ -119,7 +119,7 @@ def test_strong_penalty_shrinks_to_the_majority(dataset):
 
 @pytest.mark.parametrize(
     "make",
-    [lambda n, k: random_forest(5, 4), lambda n, k: boosted_trees(2), lambda n, k: neural_net(k, max_iter=5)],
+    [lambda n, k: random_forest(5), lambda n, k: boosted_trees(2), lambda n, k: neural_net(epochs=3)],
     ids=["forest", "boosted", "net"],
 )
 def test_other_models_run(dataset, make):

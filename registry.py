@@ -18,9 +18,15 @@ from pitchframe.operators.elo import join_elo
 from pitchframe.operators.match_rows import complete_rows, to_match_rows
 from pitchframe.operators.metrics import accuracy, classification_report, majority_predictions
 from pitchframe.operators.models import boosted_trees, logistic_regression, neural_net, random_forest
-from pitchframe.operators.prep import MatchPreprocessor, TargetEncoder, class_weights, walk_forward_scaled
+from pitchframe.operators.prep import (
+    MatchPreprocessor,
+    TargetEncoder,
+    class_weights,
+    walk_forward_one_hot,
+    walk_forward_scaled,
+)
 from pitchframe.operators.rolling import add_rolling_features
-from pitchframe.operators.splits import chronological_split, fold_rows, fold_seasons, walk_forward_folds
+from pitchframe.operators.splits import chronological_split, fold_rows, walk_forward_folds
 from pitchframe.operators.standings import add_table_positions
 from pitchframe.operators.team_rows import to_team_rows
 from pitchframe.plans import summaries
@@ -35,6 +41,7 @@ from pitchframe.plans.evaluation import (
     walk_forward_report,
 )
 from pitchframe.sources.derived import derived_elo, derived_matches
+from pitchframe.session import settle
 from pitchframe.sources.matches import split_unscored, typed_matches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,22 +96,8 @@ def scaled(dataset: DataFrame) -> DataFrame:
 
 
 def one_hot(matches: DataFrame) -> DataFrame:
-    """(fold, match, feature): the ones among every fold's encoded test rows."""
-    folds = []
-    teams = matches.select(*MATCH_KEY, "Date", "HomeTeam", "AwayTeam")
-    for fold, train, test in fold_seasons(teams):
-        prep = MatchPreprocessor().fit(teams.where(F.col("season").isin(train)))
-        coded = prep.indexer.transform(teams.where(F.col("season") == test))
-        offset, ones = 0, []
-        for column, labels in zip(prep.categories, prep.indexer.labelsArray):
-            code = F.col(f"code_{column}").cast("int")
-            name = F.concat(F.lit(f"cat__{column}_"), F.col(column))
-            # A team not seen in training has the code after the last one and no entry.
-            ones.append(F.when(code < len(labels), F.struct((code + offset).alias("position"), name.alias("feature"))))
-            offset += len(labels)
-        entries = F.inline(F.filter(F.array(*ones), lambda entry: entry.isNotNull()))
-        folds.append(coded.select(F.lit(fold).alias("fold"), *MATCH_KEY, entries))
-    return reduce(DataFrame.unionByName, folds)
+    """The ones among every fold's encoded test rows; the matches themselves are read once."""
+    return walk_forward_one_hot(settle(matches.select(*MATCH_KEY, "Date", "HomeTeam", "AwayTeam")))
 
 
 def label_codes(matches: DataFrame) -> DataFrame:

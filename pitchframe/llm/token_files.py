@@ -14,8 +14,8 @@ documents prefix sums over counts.  ``first_doc`` and ``last_doc`` have Parquet
 so one document costs one block and one short frame.
 
 Whole texts go through the tokenizers library.  Its byte-level pre-tokens never join text
-across a step from black to white ASCII space, so a text without unusual white space or
-special strings is encoded word by word from a bounded cache, and only unseen words reach
+across a step from black to a space or line break, so a text whose words all end in black, and
+hold no special string, is gathered from the ids of its words, and only unseen words reach
 the library (many a call, as lines); any other text reaches it whole.
 """
 
@@ -23,21 +23,26 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pitchframe.llm.alignment import Growing
 from pitchframe.llm.common import text_or_empty
 
 BLOCK_DOCS = 1024
 BLOCK_BYTES = 1 << 20
 CACHE_WORDS = 600_000
+LINES = 256  # words that reach the library as one text
+PORTION = 8 << 20  # bytes of text that are split together, about
 SAMPLE_DOCS = 1_000  # documents, about, that the dictionary is trained on, each of SAMPLE_CHARS at most
 SAMPLE_CHARS = (64, 8_192)
 DICTIONARY_BYTES = 65_536
@@ -47,82 +52,113 @@ BLOCKS = (
 )
 DECODED = "doc_id long, file_no int, block_no int, before long, n_tokens long, ids_crc32 long"
 
-# Two ASCII white spaces in a row, or white space beyond ASCII: word-wise encoding stops there.
-IRREGULAR = re.compile(
-    r"[ \t-\r][ \t-\r]|[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-)
-# A word of Latin letters and what follows it: the library never joins the two.
-WORD_AND_REST = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~].*)", re.DOTALL)
+# What a line of library input begins with: nothing there joins a break and what follows it.
+LINE = "\n"
+# A word of Latin letters and the ASCII signs behind it: no pre-token holds both.
+WORD_AND_REST = re.compile(r"([ \n]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~].*)", re.DOTALL)
 
 
 class Encoder:
-    """Texts to serialised id arrays with a tokenizers file."""
+    """Texts to serialised id arrays with a tokenizers file.
+
+    The words of a portion are found and numbered in Arrow; each different word is looked up
+    once, and documents are gathered from the ids of their words by offsets.
+    """
 
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.width = width
+        self.kind = np.dtype(f"<u{width}")
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        # Two generations: words seen lately outlive the older half of the cache.
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
+        (self.line_end,) = self.library.encode(LINE, add_special_tokens=False).ids
+        self.forget()
 
-    def serialised(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
+    def forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+        self.ids, self.starts, self.lengths, self.usable = Growing(), Growing(), Growing(), Growing()
 
     def encode_whole(self, texts: list[str]) -> list[bytes]:
-        encoded = self.library.encode_batch(texts, add_special_tokens=False)
-        return [self.serialised(e.ids) for e in encoded]
-
-    def learn(self, parts: list[str]) -> None:
-        """Encode parts of regular texts, those that end in black in one call, a line each."""
-        plain = [p for p in parts if p[-1:].strip()]
-        rest = [p for p in parts if not p[-1:].strip()]
-        self.words.update(zip(rest, self.encode_whole(rest)))
-        for start in range(0, len(plain), 4096):
-            some = plain[start : start + 4096]
-            ids = np.array(self.library.encode("\n".join(some), add_special_tokens=False).ids, dtype=f"<u{self.width}")
-            stops = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
-            if len(stops) != len(some):
-                self.words.update(zip(some, self.encode_whole(some)))
-                continue
-            raw, begin = ids.tobytes(), 0
-            for part, stop in zip(some, stops):
-                self.words[part] = raw[begin * self.width : stop * self.width]
-                begin = stop + 1
-
-    def parts(self, text: str) -> list[str]:
-        """Words with the one white space before them; only for regular texts."""
-        parts: list[str] = []
-        for number, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if number:
-                parts.append("\n")
-            if words[0]:
-                parts.append(words[0])
-            parts.extend([" " + w for w in words[1:]])
-        return parts
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [IRREGULAR.search(t) is not None or bool(self.special and self.special.search(t)) for t in texts]
-        done = iter(self.encode_whole([t for t, w in zip(texts, whole) if w]))
-        split = [None if w else self.parts(t) for t, w in zip(texts, whole)]
-        if len(self.words) > CACHE_WORDS // 2:
-            self.older, self.words = self.words, {}
-        known, older = self.words, self.older
-        unseen = {p for parts in split if parts for p in parts if p not in known}
-        known.update((p, older[p]) for p in unseen if p in older)
-        unseen = {p for p in unseen if p not in older}
-        cut = {p: m.groups() for p in unseen if (m := WORD_AND_REST.fullmatch(p))}
-        halves = {h for pair in cut.values() for h in pair if h not in known}
-        known.update((h, older[h]) for h in halves if h in older)
-        halves = {h for h in halves if h not in older}
-        self.learn(list(halves.union(unseen.difference(cut))))
-        known.update((p, known[word] + known[rest]) for p, (word, rest) in cut.items())
-        return [next(done) if parts is None else b"".join([known[p] for p in parts]) for parts in split]
+        encoded = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in encoded]
+
+    def in_lines(self, words: list[str]) -> list[bytes]:
+        """Ids of words without breaks that end in black, many a text, as lines."""
+        parts = [words[start : start + LINES] for start in range(0, len(words), LINES)]
+        encoded = self.encode_whole([LINE.join(part) for part in parts])
+        found: list[bytes] = []
+        size = self.kind.itemsize
+        for part, raw in zip(parts, encoded):
+            stops = (np.flatnonzero(np.frombuffer(raw, dtype=self.kind) == self.line_end) * size).tolist()
+            if len(stops) != len(part) - 1:
+                found += self.encode_whole(part)
+            else:
+                found += [raw[a:b] for a, b in zip([0, *[s + size for s in stops]], [*stops, len(raw)])]
+        return found
+
+    def learn(self, words: list[str]) -> None:
+        """Add unseen words; one that does not end in black, or holds a special string, is of no use by itself.
+
+        Latin letters and ASCII signs behind them are never joined, so they are learned apart.
+        """
+        good = [bool(w) and not may_go_on(w[-1]) and not (self.special and self.special.search(w)) for w in words]
+        halves = [m.groups() if g and (m := WORD_AND_REST.fullmatch(w)) else (w, "") for w, g in zip(words, good)]
+        pieces = {p for both, g in zip(halves, good) if g for p in both if p not in self.pieces}
+        # A break begins a word or, after other white space, lies in it; either way it is a line of its own.
+        lined = [p for p in pieces if LINE not in p]
+        self.pieces.update(zip(lined, self.in_lines(lined)))
+        rest = [p for p in pieces if LINE in p]
+        self.pieces.update(zip(rest, self.encode_whole(rest)))
+        known = self.pieces
+        ids = [known[a] + known[b] if g else b"" for (a, b), g in zip(halves, good)]
+        lengths = np.array([len(i) for i in ids], dtype=np.int64) // self.kind.itemsize
+        self.starts.extend(self.ids.size + np.cumsum(lengths) - lengths)
+        self.lengths.extend(lengths)
+        self.usable.extend(np.array(good, dtype=np.int64))
+        self.ids.extend(np.frombuffer(b"".join(ids), dtype=self.kind))
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+
+    def numbers(self, words: pa.Array, spaced: bool) -> np.ndarray:
+        """The numbers of words (``spaced``: with the space before them), each different one looked up once."""
+        coded = words.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        if spaced:
+            different = [w if w.startswith(LINE) else " " + w for w in different]
+        found = [*map(self.words.get, different)]
+        unseen = [w for w, n in zip(different, found) if n is None]
+        if unseen:
+            self.learn(unseen)
+            found = [self.words[w] if n is None else n for w, n in zip(different, found)]
+        return np.array(found, dtype=np.int64)[coded.indices.to_numpy()]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        if not len(texts):
+            return []
+        if len(self.words) > CACHE_WORDS:
+            self.forget()
+        # Words are what spaces and line breaks begin; a break stays with its word, a space goes back to it.
+        split = pc.split_pattern(pc.replace_substring(texts, LINE, " " + LINE), " ")
+        flat, offsets = split.flatten(), split.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        number = self.numbers(flat, spaced=True)
+        number[offsets[:-1]] = self.numbers(flat.take(pa.array(offsets[:-1])), spaced=False)
+        usable = np.logical_and.reduceat(self.usable.room[number].astype(bool), offsets[:-1])
+        lengths = self.lengths.room[number]
+        before = np.cumsum(lengths) - lengths
+        ids = self.ids.room[np.arange(int(lengths.sum())) + np.repeat(self.starts.room[number] - before, lengths)]
+        raw, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
+        ends = (np.append(before, len(ids))[offsets] * size).tolist()
+        whole = np.flatnonzero(~usable)
+        encoded = self.encode_whole(texts.take(pa.array(whole)).to_pylist()) if len(whole) else []
+        by_place = dict(zip(whole.tolist(), encoded))
+        return [by_place[n] if n in by_place else raw[a:b] for n, (a, b) in enumerate(zip(ends, ends[1:]))]
+
+
+def may_go_on(character: str) -> bool:
+    """Whether a space behind the character might not begin a new pre-token: white space, controls and the like."""
+    return unicodedata.category(character)[0] in "CZ"
 
 
 @lru_cache(maxsize=2)
@@ -144,23 +180,25 @@ def in_portions(texts: Iterable, limit: int = 1 << 20) -> Iterator[list]:
         yield portion
 
 
-def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, str]]:
-    for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        for doc_id, text in zip(ids, batch.column("text")):
-            yield doc_id, text.as_py()
-
-
 def id_arrays(tokenizer: str, width: int, end_id: int):
     """A ``mapInArrow`` function from (doc_id, text) to (doc_id, ids)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], dtype=f"<u{width}").tobytes()
         own = encoder(tokenizer, width)
-        for portion in in_portions(rows_of(batches)):
-            encoded = [e + end for e in own.encode([t for _, t in portion])]
-            ids = pa.array([d for d, _ in portion], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(encoded, pa.large_binary()).cast(pa.binary())], ["doc_id", "ids"])
+        for batch in batches:
+            texts = batch.column("text").cast(pa.large_string())
+            upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < len(batch):
+                before = int(upto[start - 1]) if start else 0
+                stop = min(len(batch), int(np.searchsorted(upto, before + PORTION)) + 1)
+                # Taken and not sliced, so that offsets begin at 0.
+                some = pa.concat_arrays([texts.slice(start, stop - start)])
+                encoded = [e + end for e in own.encode(some)]
+                ids = pa.array(encoded, pa.large_binary()).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, stop - start), ids], ["doc_id", "ids"])
+                start = stop
 
     return run
 

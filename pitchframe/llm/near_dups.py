@@ -37,7 +37,7 @@ BANDS = 60
 ROWS = 10
 MARKED = 1 << 25  # bytes of sets whose marks are counted together
 SHARE = 1_000_000  # shingles of partners that one copy of a centre's set serves
-SKETCH = "doc_id long, node binary, size long, buckets array<long>"
+SKETCH = "doc_id long, text_hash long, node binary, size long, buckets array<long>"
 FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -76,7 +76,7 @@ def bucket_names(found: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, node, size, buckets) of every row; without shingles node is empty and buckets null."""
+    """(doc_id, text_hash, node, size, buckets) of every row; without shingles node is empty and buckets null."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,17 +87,22 @@ def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 names = iter(bucket_names(minima(used, bands * rows), rows).tolist() if used else [])
                 columns = [
                     part.column("doc_id"),
+                    part.column("text_hash"),
                     pa.array([set_name(s) if len(s) else b"" for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([next(names) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "buckets"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "size", "buckets"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, SKETCH)
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) for ``nodes`` (node, holder): recomputed from the holder's text."""
+    """(node, shingles) for ``nodes`` (node, holder): recomputed from the holder's text.
+
+    The holder is named by its doc_id and a hash of its text, so that rows which share a doc_id
+    (or have none) do not all meet.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,12 +111,14 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 names, own = part.column("node").to_pylist(), []
                 for name, text in zip(names, part.column("text")):
                     hashes = shingle_set(text.as_py())
-                    # Another row with the holder's doc_id may have another text.
+                    # Another row with the holder's doc_id may have another text of one hash.
                     own.append((name, hashes.tobytes()) if len(hashes) and set_name(hashes) == name else None)
                 columns = zip(*[o for o in own if o]) if any(own) else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["node", "shingles"])
 
-    held = docs.join(nodes, docs["doc_id"].eqNullSafe(nodes["holder"])).select("node", "text")
+    holders = nodes.select("node", F.col("holder.doc_id").alias("holder_id"), F.col("holder.text_hash").alias("holder_hash"))
+    at_holder = F.col("doc_id").eqNullSafe(F.col("holder_id")) & (F.xxhash64("text") == F.col("holder_hash"))
+    held = docs.join(holders, at_holder).select("node", "text")
     # Repeated rows give one set several times.
     return held.mapInArrow(run, "node binary, shingles binary").dropDuplicates(["node"])
 
@@ -212,7 +219,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     nodes = settle(
         drawn.where("size > 0")
         .groupBy("node", "size", "buckets")
-        .agg(F.min("doc_id").alias("holder"))
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("holder"))
         .dropDuplicates(["node"]),
         "nodes",
     )

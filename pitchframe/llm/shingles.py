@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -10,9 +11,8 @@ import numpy as np
 
 WORDS = 5
 STRETCH = 1 << 20  # bytes of one text hashed together
-SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-FOLDED = np.arange(256, dtype=np.uint8)
-FOLDED[ord("A") : ord("Z") + 1] += 32
+KEPT_WORDS = 1_000_000  # whose digests a Python worker remembers
+KEY = b"shingles of words"
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
 BREAK = re.compile(rb"[\x20\x09-\x0D]")
@@ -39,6 +39,19 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+class WordHashes(dict):
+    """64-bit digests of words, remembered while they are few enough."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = digest = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=KEY).digest(), "little")
+        return digest
+
+
+_hashes = WordHashes()
+
+
 def stretches(raw: bytes) -> Iterator[bytes]:
     """``raw`` in parts that end at white space."""
     start = 0
@@ -52,20 +65,10 @@ def stretches(raw: bytes) -> Iterator[bytes]:
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of every word (run of anything but ASCII white space), A-Z lower-cased."""
-    found = []
-    for part in stretches(raw):
-        data = np.frombuffer(part, dtype=np.uint8)
-        black = np.concatenate(([False], ~SPACES[data], [False]))
-        edges = np.flatnonzero(black[1:] != black[:-1])
-        starts, ends = edges[::2], edges[1::2]
-        size = max(STRETCH, 1 << max(0, len(data) - 1).bit_length())
-        up, down = powers(size)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(BYTE_VALUES[FOLDED[data]] * up[: len(data)], out=sums[1:])
-        if len(starts):
-            found.append(mixed((sums[ends] - sums[starts]) * down[starts]))
-    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+    """A 64-bit digest of every word (run of anything but ASCII white space), A-Z lower-cased."""
+    # Bytes split at just the white space that ends words here, and lower() changes A-Z alone.
+    found = [np.array([*map(_hashes.__getitem__, part.lower().split())], dtype=np.uint64) for part in stretches(raw)]
+    return np.concatenate(found)
 
 
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:

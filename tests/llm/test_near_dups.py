@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+from pitchframe.llm import near_dups
 from pitchframe.llm.components import components
 from pitchframe.llm.near_dups import near_duplicates
 
@@ -70,3 +71,22 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_words_that_a_polynomial_confuses(make_docs):
+    """The Thue-Morse word and its complement agree in every polynomial modulo 2^64 from 2^10 letters on."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    found = near_duplicates(make_docs([(1, word), (2, word.translate(str.maketrans("ab", "ba")))])).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in found} == {(1, 1, True), (2, 2, True)}
+
+
+def test_rows_without_ids_meet_their_own_text_only(make_docs, prose, monkeypatch):
+    seen = []
+    inner = near_dups.common_counts
+    monkeypatch.setattr(near_dups, "common_counts", lambda sets: seen.append(sets) or inner(sets))
+    texts = [f"{prose(i % 200, 30)} {'x' if i >= 200 else 'y'}" for i in range(400)]
+    found = near_duplicates(make_docs([(None, t) for t in texts])).collect()
+    assert len(found) == 400 and all(r["component_id"] is None for r in found)
+    assert seen[0].count() == len(set(texts))

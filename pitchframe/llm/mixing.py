@@ -6,6 +6,7 @@ For the rest, documents are ranked by random odds divided by inclusion odds,
 
     q = (u / (1 - u)) / (p / (1 - p)),      u in (0, 1) from a hash of doc_id,
 
+(of doc_id, content and occurrence where a doc_id is null or repeated)
 and the smallest q are taken until the source's missing words are reached.  Ranking is
 not a sort of a source: log(q) is cut into cells, running sums over cells find the one
 in which the target is crossed, and only that cell's documents are put in order.  So a
@@ -24,6 +25,29 @@ U_BITS = 52
 EARLIER = (Window.unboundedPreceding, -1)
 
 
+def occurrences(rows: DataFrame) -> DataFrame:
+    """(row_no, occurrence) from 1 on among the rows (doc_id, content, part, row_no) that agree in doc_id and content.
+
+    Such rows are the same, so any numbering will do: by part, behind the rows of earlier parts.
+    """
+    same = ["doc_id", "content"]
+    parts = rows.groupBy(*same, "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*same).orderBy("part").rowsBetween(*EARLIER))
+    starts = parts.select(*[F.col(c).alias(f"_{c}") for c in (*same, "part")], F.coalesce(before, F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy(*same, "part").orderBy("row_no"))
+    there = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("content") == F.col("_content")) & (F.col("part") == F.col("_part"))
+    return rows.withColumn("inside", inside).join(starts, there).select("row_no", (F.col("start") + F.col("inside")).alias("occurrence"))
+
+
+def seed_keys(sized: DataFrame) -> DataFrame:
+    """(row_no, key) of the rows whose doc_id is null or repeated: what tells them apart, however they are partitioned."""
+    counts = sized.groupBy("doc_id").agg(F.count("*").alias("n"))
+    several = counts.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id"))
+    rows = sized.join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("content"), F.col("occurrence"))
+    return rows.join(occurrences(rows.select("row_no", "doc_id", "content", "part")), "row_no").select("row_no", key.alias("key"))
+
+
 def uniform(seed: int, key: str = "doc_id") -> Column:
     """A number in (0, 1) from the MD5 of seed and key; a null key counts as empty text."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
@@ -67,10 +91,10 @@ def source_targets(weighted: DataFrame, share: float, ceiling: float) -> DataFra
 
 
 def take_in_order(ranked: DataFrame, needs: DataFrame, nearest: bool) -> DataFrame:
-    """Of ``ranked`` (row_no, source_no, size, q) the first by q that make up ``need`` words of ``needs``.
+    """Of ``ranked`` (row_no, source_no, size, q, content) the first by q that make up ``need`` words of ``needs``.
 
     ``nearest`` also takes the crossing document if that ends nearer to the need.
-    Ties of q go by row_no.
+    Ties of q go by content, then by row_no, where it makes no difference.
     """
     ranked = ranked.withColumn("cell", F.floor(F.log("q") * CELLS_PER_UNIT))
     cells = ranked.groupBy("source_no", "cell").agg(F.sum("size").alias("words"))
@@ -85,7 +109,7 @@ def take_in_order(ranked: DataFrame, needs: DataFrame, nearest: bool) -> DataFra
     )
     placed = ranked.join(cut, "source_no").where(F.col("cell") <= F.col("cut"))
     sure = placed.where(F.col("cell") < F.col("cut")).select("row_no", "source_no", "size")
-    inside = Window.partitionBy("source_no").orderBy("q", "row_no").rowsBetween(*EARLIER)
+    inside = Window.partitionBy("source_no").orderBy("q", "content", "row_no").rowsBetween(*EARLIER)
     before = F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     part = F.lit(0.5 if nearest else 1.0)
     last = (
@@ -112,21 +136,26 @@ def mix(
     copies is how often the mix takes the document, taken = copies * size, and ``row_no`` is
     the given column of distinct numbers, or made here.  The first pass
     takes documents while they fit; a second one fills the gap left by the first document
-    that did not, from those small enough.  A null source is a source of its own.  Documents
-    with a null or repeated doc_id share one random number, and ties go by row.  Sources
-    without words get target 0.  An empty table gives no rows.
+    that did not, from those small enough.  A null source is a source of its own.  Rows whose
+    doc_id is null or repeated are told apart by a hash of their content (all plain columns but
+    ``row_no``) and, where that agrees too, by number, so reruns over other partitions take the
+    same documents.  Sources without words get target 0.  An empty table gives no rows.
     """
-    u = uniform(seed)
+    plain = [c for c, kind in docs.dtypes if c != row_no and not kind.startswith(("map", "struct", "array", "variant"))]
     sized = settle(
         docs.select(
             (F.monotonically_increasing_id() if row_no is None else F.col(row_no)).alias("row_no"),
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
-            u.alias("u"),
+            F.xxhash64(*[F.col(f"`{c}`") for c in sorted(plain)]).alias("content"),
+            F.spark_partition_id().alias("part"),
         ),
         "mix-sizes",
     )
+    keyed = sized.join(seed_keys(sized), "row_no", "left")
+    key = F.coalesce("key", F.col("doc_id").cast("string"))
+    sized = settle(keyed.withColumn("key", key).withColumn("u", uniform(seed, "key")).drop("key", "part"), "mix-drawn")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     weighted = cycled_weights(sizes) if weights is None else weights
     weighted = weighted.select(F.col("source").alias("of_source"), F.col("weight").cast("double").alias("weight"))
@@ -149,7 +178,7 @@ def mix(
     known = sources.withColumnRenamed("source", "at_source")
     q = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     all_docs = sized.join(known, sized["source"].eqNullSafe(known["at_source"])).drop("at_source")
-    ranked = all_docs.where((F.col("p") > 0) & (F.col("size") > 0)).select("row_no", "source_no", "size", q.alias("q"))
+    ranked = all_docs.where((F.col("p") > 0) & (F.col("size") > 0)).select("row_no", "source_no", "size", q.alias("q"), "content")
     needs = sources.select("source_no", "need")
     first = settle(take_in_order(ranked, needs, nearest=False), "mix-first")
     gaps = settle(

@@ -1,5 +1,9 @@
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
+from pitchframe.llm.common import settle
 from pitchframe.llm.mixing import mix
 
 
@@ -40,3 +44,21 @@ def test_every_source_needs_a_weight(spark, make_docs):
     weights = spark.createDataFrame([("s", 1.0)], "source string, weight double")
     with pytest.raises(Exception, match="needs a weight"):
         mix(docs, weights).collect()
+
+
+def test_partitions_change_nothing_with_null_and_repeated_ids(make_docs, prose):
+    rows = [(None, prose(i, 3 + i % 9), None, "a" if i % 3 else "b") for i in range(300)]
+    rows += [(i % 4, prose(1_000 + i, 2 + i % 7), None, "a") for i in range(200)]
+    rows += [(None, "the same words", None, "b")] * 150 + [(9, "once more", None, "a")] * 60
+    docs = make_docs(rows)
+
+    def taken(parts):
+        keys = parts.select("row", "doc_id", "text", "source")
+        found = mix(parts, row_no="row").select(F.col("row_no").alias("row"), "copies")
+        return Counter(tuple(r)[1:] for r in keys.join(found, "row").collect())
+
+    numbered = settle(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    other = settle(docs.repartition(7).withColumn("row", F.monotonically_increasing_id()), "rows")
+    assert taken(numbered) == taken(other)
+    # Rows of one id, or of none, are not taken all together.
+    assert len({key[-1] for key in taken(numbered) if key[0] == 9}) == 2

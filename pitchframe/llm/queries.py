@@ -32,6 +32,13 @@ URL_RULES = [
     ("block", "net/fr/"),
 ]
 
+# Public suffixes of two labels under which many sites register a name of their own.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "edu.au", "net.au", "org.au", "co.nz", "org.nz", "ac.jp", "co.jp", "ne.jp",
+    "or.jp", "com.br", "org.br", "com.cn", "org.cn", "co.in", "org.in", "co.kr", "or.kr", "co.za", "org.za", "com.ar", "com.mx",
+    "com.tr", "com.tw", "com.hk", "com.sg", "co.il", "com.ua",
+)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -67,7 +74,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = any_bad(F.col("toxic") == 1, F.col("quality") == 0)
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     pages = table(spark, sf_dir, "pages")
-    return judge_urls(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return judge_urls(pages, outcomes, URL_RULES, SUFFIXES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,8 +75,9 @@ def prior_strength(groups: DataFrame) -> float:
         F.count("*").alias("groups"),
         F.sum("n").cast("double").alias("n"),
         F.sum("k").cast("double").alias("k"),
-        F.sum(F.col("k") * F.col("k") / F.col("n")).alias("kk"),
-        F.sum((F.col("n") * F.col("n")).cast("double")).alias("nn"),
+        # As doubles: the square of a level's outcomes need not fit a long.
+        F.sum(F.col("k").cast("double") * F.col("k") / F.col("n")).alias("kk"),
+        F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"),
     ).first()
     low, high = STRENGTH_RANGE
     if row["groups"] < 2:

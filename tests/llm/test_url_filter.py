@@ -1,5 +1,6 @@
 import pytest
 
+from pitchframe.llm import queries, url_filter
 from pitchframe.llm.queries import URL_RULES
 from pitchframe.llm.url_filter import host_reputation, judge_urls
 
@@ -59,3 +60,15 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "page_id long, bad int")
     assert judge_urls(pages, labels, URL_RULES).count() == 0
     assert judged(spark, ["http://a.org/"])[0]["verdict"] == "allow"
+
+
+def test_many_outcomes_do_not_overflow(spark):
+    groups = spark.createDataFrame([(4_000_000_000, 1_000_000_000), (5_000_000_000, 4_900_000_000)], "n long, k long")
+    low, high = url_filter.STRENGTH_RANGE
+    assert low <= url_filter.prior_strength(groups) <= high
+
+
+def test_suffixes_keep_sites_apart(spark):
+    hosts = spark.createDataFrame([("a.one.co.uk", 40, 40), ("b.two.co.uk", 40, 0), ("c.two.co.uk", 0, 0)], "host string, n long, k long")
+    found = {r["host"]: r["mean"] for r in url_filter.host_reputation(hosts, queries.SUFFIXES).collect()}
+    assert found["c.two.co.uk"] < 0.3 < found["a.one.co.uk"]

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,17 +26,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """What is settled inside lies in a folder of its own, which goes at the end.
 
+    Frames over it cannot be read afterwards: settle what is to stay outside of it.
+    """
+    path = new_path(spark, name)
+    outer = _scratch.set(path)
+    try:
+        yield
+    finally:
+        _scratch.reset(outer)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet in the shared folder and return it re-read.
+
+def settle(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write a frame as Parquet in the shared folder (or to ``path``) and return it re-read.
 
     It cuts the lineage: a lost executor costs a re-read and not a recomputation.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

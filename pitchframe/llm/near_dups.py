@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from pitchframe.llm.common import settle, text_or_empty
 from pitchframe.llm.components import components
-from pitchframe.llm.shingles import mixed, shingle_set
+from pitchframe.llm.shingles import forget_words, mixed, shingle_set
 
 BANDS = 60
 ROWS = 10
@@ -93,6 +93,7 @@ def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     pa.array([next(names) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "size", "buckets"])
+        forget_words()
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, SKETCH)
 
@@ -115,6 +116,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     own.append((name, hashes.tobytes()) if len(hashes) and set_name(hashes) == name else None)
                 columns = zip(*[o for o in own if o]) if any(own) else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["node", "shingles"])
+        forget_words()
 
     holders = nodes.select("node", F.col("holder.doc_id").alias("holder_id"), F.col("holder.text_hash").alias("holder_hash"))
     at_holder = F.col("doc_id").eqNullSafe(F.col("holder_id")) & (F.xxhash64("text") == F.col("holder_hash"))

@@ -11,7 +11,7 @@ import numpy as np
 
 WORDS = 5
 STRETCH = 1 << 20  # bytes of one text hashed together
-KEPT_WORDS = 1_000_000  # whose digests a Python worker remembers
+KEPT_WORDS = 200_000  # whose digests a Python worker remembers
 KEY = b"shingles of words"
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -52,6 +52,11 @@ class WordHashes(dict):
 _hashes = WordHashes()
 
 
+def forget_words() -> None:
+    """Give the memory of the digests back; workers live on after a step."""
+    _hashes.clear()
+
+
 def stretches(raw: bytes) -> Iterator[bytes]:
     """``raw`` in parts that end at white space."""
     start = 0

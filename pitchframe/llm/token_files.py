@@ -40,9 +40,9 @@ from pitchframe.llm.common import text_or_empty
 
 BLOCK_DOCS = 1024
 BLOCK_BYTES = 1 << 20
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 LINES = 256  # words that reach the library as one text
-PORTION = 8 << 20  # bytes of text that are split together, about
+PORTION = 2 << 20  # bytes of text that are split together, about
 SAMPLE_DOCS = 1_000  # documents, about, that the dictionary is trained on, each of SAMPLE_CHARS at most
 SAMPLE_CHARS = (64, 8_192)
 DICTIONARY_BYTES = 65_536
@@ -199,6 +199,8 @@ def id_arrays(tokenizer: str, width: int, end_id: int):
                 ids = pa.array(encoded, pa.large_binary()).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, stop - start), ids], ["doc_id", "ids"])
                 start = stop
+        # Workers live on after a step: what Arrow keeps for later use goes back.
+        pa.default_memory_pool().release_unused()
 
     return run
 

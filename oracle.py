@@ -264,6 +264,16 @@ WHERE {_complete([*base, *plain, *means])}"""
     )
 
 
+def _enriched() -> str:
+    return (
+        _with(MATCHES, ELO)
+        + f"""SELECT {KEY}, CAST(m."Date" AS VARCHAR) AS "Date", "HomeTeam", "AwayTeam", h.elo AS "Home_Elo", a.elo AS "Away_Elo"
+FROM matches m
+LEFT JOIN elo h ON h.team = m."HomeTeam" AND h."QueryDate" = m."Date"
+LEFT JOIN elo a ON a.team = m."AwayTeam" AND a."QueryDate" = m."Date\""""
+    )
+
+
 def _scaled() -> str:
     dataset, names = _dataset()
     stats = ", ".join(
@@ -400,6 +410,8 @@ def statements() -> dict[str, str]:
         "typed_matches": _typed(),
         "dataset_by_kick_off": _by_kick_off(),
         "derived_matches": _with(MATCHES) + f"SELECT {KEY}, {DAY}, {raw} FROM matches",
+        "season_files": _with(MATCHES)
+        + f"SELECT div_name, CAST(season AS VARCHAR) AS season, match_seq, {DAY}, {raw} FROM matches",
         "derived_elo": _with(MATCHES, ELO)
         + 'SELECT team, CAST("QueryDate" AS VARCHAR) AS "QueryDate", elo FROM elo',
         "goal_histogram": _with(MATCHES)
@@ -441,11 +453,8 @@ FROM matches WHERE "FTR" IS NOT NULL GROUP BY "FTR\"""",
         "match_dataset": wide + _dataset_output(names),
         "match_dataset_complete": wide + _dataset_output(names) + f" WHERE {_complete(names)}",
         "exploratory_dataset": _exploratory(),
-        "elo_enriched": _with(MATCHES, ELO)
-        + f"""SELECT {KEY}, CAST(m."Date" AS VARCHAR) AS "Date", "HomeTeam", "AwayTeam", h.elo AS "Home_Elo", a.elo AS "Away_Elo"
-FROM matches m
-LEFT JOIN elo h ON h.team = m."HomeTeam" AND h."QueryDate" = m."Date"
-LEFT JOIN elo a ON a.team = m."AwayTeam" AND a."QueryDate" = m."Date\"""",
+        "elo_enriched": _enriched(),
+        "elo_in_place": _enriched(),
         "chrono_split": _with(MATCHES)
         + f"""SELECT {KEY}, {DAY}, "Time",
        CASE WHEN ROW_NUMBER() OVER (ORDER BY season, "Date", "Time", match_seq) <= FLOOR(COUNT(*) OVER () * 0.8)

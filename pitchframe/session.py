@@ -37,6 +37,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, by: str | None = "season") -> DataFrame:
     """Write a frame that is read many times (model training) and return it re-read.
 
@@ -46,7 +51,7 @@ def settle(df: DataFrame, by: str | None = "season") -> DataFrame:
     ``by`` the parts stay as they are.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    path = new_folder(spark, "settled")
     if by is None:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)

@@ -40,9 +40,10 @@ from pitchframe.plans.evaluation import (
     settled_dataset,
     walk_forward_report,
 )
+from pitchframe.session import new_folder, settle
 from pitchframe.sources.derived import derived_elo, derived_matches
-from pitchframe.session import settle
-from pitchframe.sources.matches import split_unscored, typed_matches
+from pitchframe.sources.matches import read_matches, split_unscored, typed_matches
+from pitchframe.sources.versions import read_version, replace_dataset, write_version
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,10 +116,31 @@ def majority(matches: DataFrame) -> DataFrame:
     return majority_predictions(fold_rows(counts), weight="n")
 
 
+ELO_COLUMNS = [*MATCH_KEY, "Date", "HomeTeam", "AwayTeam", "Home_Elo", "Away_Elo"]
+
+
 def elo_enriched(matches: DataFrame) -> DataFrame:
-    return join_elo(matches, derived_elo(matches)).select(
-        *MATCH_KEY, "Date", "HomeTeam", "AwayTeam", "Home_Elo", "Away_Elo"
-    )
+    return join_elo(matches, derived_elo(matches)).select(*ELO_COLUMNS)
+
+
+def elo_in_place(matches: DataFrame) -> DataFrame:
+    """A dataset that is enriched from itself and replaced, twice."""
+    spark, path = matches.sparkSession, new_folder(matches.sparkSession, "versions")
+    write_version(matches.select(*MATCH_KEY, "Date", "HomeTeam", "AwayTeam"), path, ["season"])
+    for _ in range(2):
+        replace_dataset(spark, path, lambda dataset: join_elo(dataset, derived_elo(dataset)), ["season"])
+    return read_version(spark, path).select(*ELO_COLUMNS)
+
+
+def season_files(matches: DataFrame) -> DataFrame:
+    """The matches written as season files of two headers, and read back by name in one scan."""
+    path = new_folder(matches.sparkSession, "seasons")
+    texts = matches.withColumn("Date", F.date_format("Date", "dd/MM/yyyy"))
+    early, late = texts.where("season % 2 = 0"), texts.where("season % 2 = 1").withColumn("Referee", F.lit("N, N"))
+    parts = {"early": early.select(*MATCH_KEY, *RAW_COLUMNS), "late": late.select("Referee", *reversed(RAW_COLUMNS), *MATCH_KEY)}
+    for name, part in parts.items():
+        part.write.partitionBy("div_name", "season").option("header", "true").csv(f"{path}/{name}")
+    return read_matches(matches.sparkSession, [f"{path}/{name}" for name in parts])
 
 
 def split_rows(matches: DataFrame) -> DataFrame:
@@ -198,6 +220,8 @@ PLAIN: dict[str, Query] = {
     "match_dataset_complete": over_matches(lambda m: complete_rows(match_dataset(m))),
     "exploratory_dataset": over_matches(lambda m: complete_rows(exploratory_dataset(m))),
     "elo_enriched": over_matches(elo_enriched),
+    "elo_in_place": over_matches(elo_in_place),
+    "season_files": over_matches(season_files),
     "chrono_split": over_matches(split_rows),
     "walk_forward_folds": over_matches(walk_forward_folds),
     "walk_forward_rows": over_matches(fold_membership),

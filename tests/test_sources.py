@@ -8,6 +8,7 @@ from pitchframe.operators.elo import join_elo, repeated_ratings
 from pitchframe.operators.standings import add_table_positions
 from pitchframe.plans.dataset import match_dataset
 from pitchframe.sources import matches as M
+from pitchframe.sources import versions as V
 from test_standings import league
 
 
@@ -134,4 +135,65 @@ def test_elo_keeps_matches_and_can_run_again(spark, make_matches, tmp_path):
     assert repeated_ratings(elo).count() == 0
     twice = elo.unionByName(elo.withColumn("elo", F.lit(1.0)))
     assert repeated_ratings(twice).count() == 2
-    assert join_elo(matches, twice).count() == 4
+    with pytest.raises(Exception, match="several ratings of"):
+        join_elo(matches, twice).collect()
+    # A count needs no ratings, and repeated ones do not multiply it.
+    assert join_elo(matches, twice).count() == 2
+
+
+def test_awkward_files_are_read(spark, tmp_path):
+    """A mark at the start, rows of other lengths, quotes, another encoding, a blank line and an empty file."""
+    columns = ",".join(RAW_COLUMNS)
+    row = ["14/08/2021", "20:00", "A", "B", "2", "0", "H", "1", "0", "H", *["1"] * 12]
+    (tmp_path / "20-21.csv").write_bytes(b"\xef\xbb\xbf" + f"{columns}\n{','.join(row)}\n\n".encode())
+    short, long_row = row[:10], [*row, "x", "y"]
+    (tmp_path / "21-22.csv").write_text("\n".join([columns, ",".join(short), ",".join(long_row)]) + "\n")
+    quoted = ['"A, the ""first"""' if v == "A" else v for v in row]
+    (tmp_path / "22-23.csv").write_text("\r\n".join([columns, ",".join(quoted)]))
+    (tmp_path / "23-24.csv").write_bytes(f"{columns}\n".encode() + ",".join(["Köln" if v == "A" else v for v in row]).encode("latin-1"))
+    got = M.read_matches(spark, str(tmp_path)).orderBy("season", "match_seq").collect()
+    assert [(r["season"], r["HomeTeam"], r["HS"]) for r in got] == [
+        ("20-21", "A", 1), ("21-22", "A", None), ("21-22", "A", 1), ("22-23", 'A, the "first"', 1), ("23-24", "K\ufffdln", 1),
+    ]
+    (tmp_path / "24-25.csv").write_text(columns.replace("HST,", "") + "\n")
+    with pytest.raises(Exception, match="missing columns.*HST"):
+        M.read_matches(spark, str(tmp_path)).collect()
+
+
+def test_season_files_are_scanned_once(spark, season_files):
+    plan = M.read_matches(spark, str(season_files))._jdf.queryExecution().executedPlan().toString()
+    reads = [line for line in plan.splitlines() if "binaryFile" in line]
+    assert sum("content" in line for line in reads) == 1 and "Scan csv" not in plan and "Scan text" not in plan
+
+
+def test_replaced_from_itself(spark, tmp_path):
+    path = str(tmp_path / "set")
+    with pytest.raises(ValueError, match="no committed version"):
+        V.read_version(spark, path)
+    assert V.write_version(spark.range(5), path) == 1
+    old = V.read_version(spark, path)
+    new = V.replace_dataset(spark, path, lambda d: d.withColumn("id", F.col("id") * 10))
+    assert sorted(r[0] for r in new.collect()) == [0, 10, 20, 30, 40]
+    # Whoever began to read the old version can end.
+    assert sorted(r[0] for r in old.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_a_failed_run_leaves_the_old_version(spark, tmp_path):
+    path = str(tmp_path / "set")
+    V.write_version(spark.range(3), path)
+    with pytest.raises(Exception, match="broken off"):
+        V.replace_dataset(spark, path, lambda d: d.withColumn("x", F.when(F.col("id") == 2, F.raise_error(F.lit("broken off")))))
+    assert V.current_version(spark, path) == 1 and V.read_version(spark, path).count() == 3
+    assert V.write_version(spark.range(4), path) == 3
+    assert V.expire_versions(spark, path, keep=1) == [1, 2]
+    assert V.read_version(spark, path).count() == 4
+    with pytest.raises(ValueError, match="no committed version 1"):
+        V.read_version(spark, path, 1)
+
+
+def test_of_two_writers_one_fails(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "set")
+    V.write_version(spark.range(3), path)
+    monkeypatch.setattr(V, "_versions", lambda spark, path: ([], []))
+    with pytest.raises(Exception, match="(?i)exist"):
+        V.write_version(spark.range(9), path)

@@ -5,11 +5,11 @@ league in one task.  Here the order is cut into cells - one kick-off, and within
 it one range of ``CELL`` consecutive sequence numbers - so a cell holds at most
 ``CELL`` rows however large the league or the kick-off is.  The position of a row is
 
-    rows at earlier kick-offs + rows in earlier cells of its kick-off + rank in its cell
+    rows in earlier cells + rank in its cell
 
-and the first two terms are running sums over counts, which are pre-aggregated
-on the map side.  A season has at most 525,600 distinct minutes, which bounds the
-only window that spans a league.
+and the first term is a running sum over counts, which are pre-aggregated on the map
+side.  A season has at most 525,600 distinct minutes, and a cell more for every ``CELL``
+rows of one, which bounds the only window that spans a league.
 """
 
 from __future__ import annotations
@@ -53,8 +53,7 @@ def number_matches(
     among the groups or in ``match_seq`` fails the run: ``split_unscored`` sets such rows
     apart at ingest, and they must not vanish here.
     """
-    kick_off = [*groups, "_day", "_clock"]
-    cell = [*kick_off, "_cell"]
+    cell = [*groups, "_day", "_clock", "_cell"]
     keyed = matches.withColumns(
         {
             **{k: present(k) for k in groups},
@@ -65,21 +64,10 @@ def number_matches(
     )
 
     cells = keyed.groupBy(*cell).agg(F.count("*").alias("_n"))
-    earlier = (Window.unboundedPreceding, -1)
-    in_kick_off = Window.partitionBy(*kick_off).orderBy("_cell").rowsBetween(*earlier)
-    in_group = Window.partitionBy(*groups).orderBy("_day", "_clock").rowsBetween(*earlier)
-
-    kick_offs = (
-        cells.groupBy(*kick_off)
-        .agg(F.sum("_n").alias("_k"))
-        .withColumn("_kick_start", F.coalesce(F.sum("_k").over(in_group), F.lit(0)))
-        .withColumn(size, F.sum("_k").over(Window.partitionBy(*groups)))
-        .drop("_k")
-    )
-    starts = (
-        cells.withColumn("_cell_start", F.coalesce(F.sum("_n").over(in_kick_off), F.lit(0)))
-        .join(kick_offs, kick_off)
-        .select(*cell, (F.col("_kick_start") + F.col("_cell_start")).alias("_start"), size)
+    in_group = Window.partitionBy(*groups)
+    earlier = in_group.orderBy("_day", "_clock", "_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select(
+        *cell, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"), F.sum("_n").over(in_group).alias(size)
     )
     rank = F.row_number().over(Window.partitionBy(*cell).orderBy("match_seq", *ties))
     return (

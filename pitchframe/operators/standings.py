@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pitchframe.columns import LEAGUE, MATCH_KEY, require_columns
 from pitchframe.functions.scoring import score_points
 from pitchframe.operators.ordering import number_matches
+from pitchframe.session import settle_if_shared
 
 CHUNK = 16_384  # matches replayed together
 TILE = 1 << 20  # entries of the matches x teams matrix held at once
@@ -31,10 +32,10 @@ POSITION_COLUMNS = ["HomeTablePos", "AwayTablePos", "TablePosDiff"]
 TOTALS = ["pts", "gd", "gf", "played"]
 
 
-def _in_chunks(matches: DataFrame, chunk: int) -> DataFrame:
-    """Matches in league order with their chunk; a missing score adds no goals."""
+def _in_chunks(numbered: DataFrame, chunk: int) -> DataFrame:
+    """Numbered matches with their chunk; a missing score adds no goals."""
     return (
-        number_matches(matches, LEAGUE)
+        numbered
         .withColumn("chunk", F.expr(f"match_no div {chunk}"))
         .withColumn("last_chunk", F.expr(f"(league_matches - 1) div {chunk}"))
         .withColumns({g: F.coalesce(F.col(g).cast("long"), F.lit(0)) for g in ("FTHG", "FTAG")})
@@ -170,7 +171,7 @@ def _replay(min_played: int, default_position: int) -> Callable[[pa.Table, pa.Ta
 
 
 def add_table_positions(
-    matches: DataFrame, min_played: int = 3, default_position: int = 10, chunk: int = CHUNK
+    matches: DataFrame, min_played: int = 3, default_position: int = 10, chunk: int = CHUNK, settled: bool = False
 ) -> DataFrame:
     """Add both sides' table positions before kick-off and their difference.
 
@@ -180,11 +181,16 @@ def add_table_positions(
     its position is ``default_position``.
 
     Also adds ``match_no``, the match's place in that order, and ``league_matches``,
-    the number of matches in its league-season.
+    the number of matches in its league-season.  ``settled`` writes the numbered matches to
+    the shared folder, if there is one, and goes on from there.
     """
     needed = [*MATCH_KEY, "Date", "Time", "HomeTeam", "AwayTeam", "FTHG", "FTAG"]
     require_columns(matches, needed)
-    numbered = _in_chunks(matches.select(*needed), chunk)
+    stale = [c for c in (*POSITION_COLUMNS, "match_no", "league_matches") if c in matches.columns]
+    # Openings, replay and result all start from here: where possible it is worked out once.
+    placed = number_matches(matches.drop(*stale), LEAGUE)
+    placed = settle_if_shared(placed) if settled else placed
+    numbered = _in_chunks(placed.select(*MATCH_KEY, "HomeTeam", "AwayTeam", "FTHG", "FTAG", "match_no", "league_matches"), chunk)
     chunk_key = [*LEAGUE, "chunk"]
     types = dict(numbered.dtypes)
     schema = ", ".join(
@@ -197,17 +203,9 @@ def add_table_positions(
     )
     opening = opening_tables(numbered).withColumnsRenamed({k: f"at_{k}" for k in chunk_key})
     positions = (
-        numbered.drop("Date", "Time", "last_chunk", "league_matches")
+        numbered.drop("last_chunk", "league_matches")
         .groupBy(*chunk_key)
         .cogroup(opening.groupBy(*[f"at_{k}" for k in chunk_key]))
         .applyInArrow(_replay(min_played, default_position), schema)
     )
-    # The numbers come by their own join, so that a filter on them skips the replay.
-    numbers = numbered.select(*MATCH_KEY, "match_no", "league_matches")
-    stale = [c for c in (*POSITION_COLUMNS, "match_no", "league_matches") if c in matches.columns]
-    return (
-        matches.drop(*stale)
-        .join(numbers, MATCH_KEY)
-        .join(positions, MATCH_KEY, "left")
-        .withColumn("TablePosDiff", F.col("AwayTablePos") - F.col("HomeTablePos"))
-    )
+    return placed.join(positions, MATCH_KEY, "left").withColumn("TablePosDiff", F.col("AwayTablePos") - F.col("HomeTablePos"))

@@ -9,16 +9,20 @@ from pitchframe.operators.match_rows import to_match_rows
 from pitchframe.operators.rolling import add_rolling_features, rolling_means
 from pitchframe.operators.standings import add_table_positions
 from pitchframe.operators.team_rows import to_team_rows
+from pitchframe.session import settle_if_shared
 
 
 def match_dataset(matches: DataFrame) -> DataFrame:
-    """Standings, team rows, form and back: one row per match with 138 features."""
-    rows = to_team_rows(add_table_positions(matches))
+    """Standings, team rows, form and back: one row per match with 138 features.
+
+    The matches are read twice, to number them; what follows starts from settled steps.
+    """
+    rows = to_team_rows(settle_if_shared(add_table_positions(matches, settled=True)))
     return to_match_rows(add_rolling_features(rows))
 
 
 def exploratory_dataset(matches: DataFrame) -> DataFrame:
     """The exploratory variant: fewer measures, both positions, every column kept."""
-    placed = add_table_positions(matches)
+    placed = settle_if_shared(add_table_positions(matches, settled=True))
     rows = to_team_rows(placed, with_positions=True)
     return to_match_rows(rolling_means(rows, SHORT_FORM_MEASURES), placed, keep="all")

@@ -29,9 +29,13 @@ def local_session(
     )
 
 
+def _folder_of(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables that every executor can reach: ``spark.checkpoint.dir``."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = _folder_of(spark)
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder
@@ -42,6 +46,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settle_if_shared(df: DataFrame) -> DataFrame:
+    """``settle`` a step that several later ones read, where there is a shared folder; else leave it to the plan."""
+    return settle(df, None) if _folder_of(df.sparkSession) else df
+
+
 def settle(df: DataFrame, by: str | None = "season") -> DataFrame:
     """Write a frame that is read many times (model training) and return it re-read.
 

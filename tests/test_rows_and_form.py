@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchframe.columns import FORM_MEASURES, OUTCOME_MEASURES
+from pitchframe.operators import standings
 from pitchframe.operators.match_rows import complete_rows, to_match_rows
 from pitchframe.operators.rolling import add_rolling_features, rolling_means, with_form_measures
 from pitchframe.operators.standings import add_table_positions
@@ -117,3 +118,23 @@ def test_exploratory_dataset_keeps_every_column(make_matches):
     assert {"HS", "Home_Shots", "Away_Opponent", "Home_TeamTablePos", "Away_Fouls_Rolling10_all"} <= set(wide.columns)
     with pytest.raises(ValueError):
         to_match_rows(wide, wide, keep="some")
+
+
+def test_dataset_reads_its_source_twice_at_most(make_matches, tmp_path, spark):
+    """Numbering reads the matches for its counts and for its rows; all else starts from settled steps."""
+    path = str(tmp_path / "matches")
+    make_matches(league(7, 50, 5, 30)).write.parquet(path)
+    seen = []
+    inner = standings.number_matches
+
+    def numbered(*given, **named):
+        frame = inner(*given, **named)
+        seen.append(frame)
+        return frame
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(standings, "number_matches", numbered)
+        wide = match_dataset(spark.read.parquet(path))
+    assert wide.count() == 50
+    assert path not in str(wide.inputFiles())
+    assert seen[0]._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2 and len(seen) == 1

@@ -42,11 +42,8 @@ def _in_chunks(numbered: DataFrame, chunk: int) -> DataFrame:
     )
 
 
-def opening_tables(numbered: DataFrame) -> DataFrame:
-    """Every team's totals at the start of each chunk of its league.
-
-    ``numbered`` has one row per match with ``chunk`` and ``last_chunk``.
-    """
+def booked_totals(numbered: DataFrame, by: list[str]) -> DataFrame:
+    """(league, team, ``by``, totals) of the given matches."""
     home, away = F.col("FTHG"), F.col("FTAG")
 
     def booked(team: str, own: Column, other: Column) -> Column:
@@ -57,17 +54,33 @@ def opening_tables(numbered: DataFrame) -> DataFrame:
             own.alias("gf"),
         )
 
-    per_chunk = (
-        numbered.select(
-            *LEAGUE,
-            "chunk",
-            "last_chunk",
-            F.inline(F.array(booked("HomeTeam", home, away), booked("AwayTeam", away, home))),
-        )
-        .groupBy(*LEAGUE, "team", "chunk", "last_chunk")
+    sides = F.inline(F.array(booked("HomeTeam", home, away), booked("AwayTeam", away, home)))
+    return (
+        numbered.select(*LEAGUE, *by, sides)
+        .groupBy(*LEAGUE, "team", *by)
         .agg(*[F.sum(t).alias(t) for t in TOTALS[:3]], F.count("*").alias("played"))
     )
 
+
+def opening_tables(numbered: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """Every team's totals at the start of each chunk of its league.
+
+    ``numbered`` has one row per match with ``chunk`` and ``last_chunk``; ``earlier`` holds what
+    the teams brought from matches before these (league, team, totals).
+    """
+    opened = _opened(numbered)
+    if earlier is None:
+        return opened
+    chunks = numbered.groupBy(*LEAGUE).agg(F.max("last_chunk").alias("_last"))
+    brought = earlier.join(chunks, LEAGUE).select(
+        *LEAGUE, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last").cast("long"))).alias("chunk"), "team", *TOTALS
+    )
+    both = opened.withColumn("chunk", F.col("chunk").cast("long")).unionByName(brought)
+    return both.groupBy(*LEAGUE, "chunk", "team").agg(*[F.sum(t).alias(t) for t in TOTALS])
+
+
+def _opened(numbered: DataFrame) -> DataFrame:
+    per_chunk = booked_totals(numbered, ["chunk", "last_chunk"])
     by_chunk = Window.partitionBy(*LEAGUE, "team").orderBy("chunk")
     earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
     running = per_chunk.select(
@@ -171,7 +184,12 @@ def _replay(min_played: int, default_position: int) -> Callable[[pa.Table, pa.Ta
 
 
 def add_table_positions(
-    matches: DataFrame, min_played: int = 3, default_position: int = 10, chunk: int = CHUNK, settled: bool = False
+    matches: DataFrame,
+    min_played: int = 3,
+    default_position: int = 10,
+    chunk: int = CHUNK,
+    settled: bool = False,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Add both sides' table positions before kick-off and their difference.
 
@@ -182,7 +200,8 @@ def add_table_positions(
 
     Also adds ``match_no``, the match's place in that order, and ``league_matches``,
     the number of matches in its league-season.  ``settled`` writes the numbered matches to
-    the shared folder, if there is one, and goes on from there.
+    the shared folder, if there is one, and goes on from there.  ``earlier`` (league, team,
+    totals) is the table before these matches.
     """
     needed = [*MATCH_KEY, "Date", "Time", "HomeTeam", "AwayTeam", "FTHG", "FTAG"]
     require_columns(matches, needed)
@@ -201,7 +220,7 @@ def add_table_positions(
             ("AwayTablePos", "int"),
         ]
     )
-    opening = opening_tables(numbered).withColumnsRenamed({k: f"at_{k}" for k in chunk_key})
+    opening = opening_tables(numbered, earlier).withColumnsRenamed({k: f"at_{k}" for k in chunk_key})
     positions = (
         numbered.drop("last_chunk", "league_matches")
         .groupBy(*chunk_key)

@@ -20,7 +20,6 @@ count, so that a sampled text does not vouch for itself.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from math import log, log10
@@ -121,8 +120,10 @@ class Backoff:
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.words: list[str] = []
         self.scores = np.zeros((1024, len(self.langs)))
-        self.told: dict[str, np.ndarray] = {}
+        # Shares known of a word, by language; NaN where nobody asked yet.
+        self.told = np.full((1024, len(self.langs)), np.nan)
 
     def known(self, word: str) -> np.ndarray:
         """By language 1 if it knows the word, else the share of its n-grams that it knows."""
@@ -136,15 +137,15 @@ class Backoff:
 
     def judge(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, known) of a text."""
-        lang, score = self.predict(text)
+        rows = self.rows(text)
+        lang, score = self.winner(rows)
         if lang == UNKNOWN:
             return lang, score, 0.0
-        counts = Counter(words_of(text or ""))
-        for word in counts:
-            if word not in self.told:
-                self.told[word] = self.known(word)
         at = self.langs.index(lang)
-        return lang, score, float(sum(n * self.told[w][at] for w, n in counts.items()) / counts.total())
+        new = rows[np.isnan(self.told[rows, at])]
+        for row in np.unique(new).tolist():
+            self.told[row] = self.known(self.words[row])
+        return lang, score, float(self.told[rows, at].mean())
 
     def score(self, word: str) -> np.ndarray:
         known = self.lists.get(0, {}).get(word)
@@ -161,23 +162,30 @@ class Backoff:
 
     def row(self, word: str) -> int:
         n = self.place[word] = len(self.place)
+        self.words.append(word)
         if n == len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.told = np.concatenate([self.told, np.full_like(self.told, np.nan)])
         self.scores[n] = self.score(word)
         return n
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text or "")
-        if not words or not self.langs:
-            return UNKNOWN, 0.0
+    def rows(self, text: str | None) -> np.ndarray:
+        """The rows of a text's words, in order."""
         if len(self.place) > CACHE_WORDS:
             self.forget()
         place = self.place
-        rows = [place[w] if w in place else self.row(w) for w in words]
+        return np.array([place[w] if w in place else self.row(w) for w in words_of(text or "")], dtype=np.int64)
+
+    def winner(self, rows: np.ndarray) -> tuple[str, float]:
+        if not len(rows) or not self.langs:
+            return UNKNOWN, 0.0
         means = self.scores[rows].mean(axis=0)
         odds = np.exp((means.min() - means) * log(10))
         return self.langs[int(means.argmin())], float(1 / odds.sum())
 
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.winner(self.rows(text)) if self.langs else (UNKNOWN, 0.0)
+
 
 def predict(docs: DataFrame, model: list[tuple[str, int, str, float]], keep: list[str], with_known: bool = False) -> DataFrame:
     """``keep`` columns of ``docs`` with lang_pred and score (0 to 1; and known), from ``text`` alone.
@@ -197,6 +205,8 @@ def predict(docs: DataFrame, model: list[tuple[str, int, str, float]], keep: lis
             columns = [batch.column(k) for k in keep]
             columns += [pa.array([f[n] for f in found], kind) for n, kind in enumerate(types)]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
+        # Workers live on after a step: what Arrow keeps for later use goes back.
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]

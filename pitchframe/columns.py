@@ -20,6 +20,7 @@ RAW_COLUMNS = [
     "HS", "AS", "HST", "AST", "HF", "AF",
     "HC", "AC", "HY", "AY", "HR", "AR",
 ]
+# Those of them that hold text.
 TEXT_COLUMNS = ["Time", "HomeTeam", "AwayTeam", "FTR", "HTR"]
 COUNT_COLUMNS = [c for c in RAW_COLUMNS if c not in TEXT_COLUMNS and c != "Date"]
 

@@ -10,7 +10,7 @@ import __spark_entry__ as contract
 TABLES = Path("/root/testdata/sf0.001")
 # Fits of half a minute and more: here they run on fewer matches.
 LONG_FITS = {"walk_forward_rf_support", "holdout_gbt_support", "holdout_mlp_support", "feature_importance_names"}
-FEWER = 700
+FEWER = 1_200
 
 
 def views(folder):

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.ml.functions import vector_to_array
 
+from pitchframe.columns import MATCH_KEY
 from pitchframe.operators import splits
 from pitchframe.operators.metrics import accuracy, classification_report, majority_predictions
 from pitchframe.operators.models import boosted_trees, logistic_regression, neural_net, random_forest
@@ -9,6 +10,7 @@ from pitchframe.plans.dataset import match_dataset
 from pitchframe.plans.evaluation import (
     feature_importance,
     fit_predict,
+    holdout_parts,
     holdout_report,
     ranked_ends,
     settled_dataset,
@@ -136,3 +138,26 @@ def test_importance_covers_every_feature(dataset):
     ends = ranked_ends(importance, 3).collect()
     assert [r["list"] for r in ends].count("top") == 3 and len(ends) == 6
     assert max(rows, key=lambda r: r["Importance"])["Importance"] == max(r["Importance"] for r in ends)
+
+
+def test_parts_are_those_of_the_split_and_deal_nothing(spark, make_matches):
+    """The wide rows are only compared with the first test row."""
+    rows = [(n, f"2021-08-{1 + n * 7 % 20:02d}", ["15:00", None, "12:30"][n % 3], "A", "B", n % 4, 1) for n in range(60)]
+    both = make_matches(rows).unionByName(make_matches(rows, div="K")).unionByName(make_matches(rows, season="22-23"))
+    for share in (0.0, 0.3, 0.8, 1.0):
+        marked = {tuple(r[k] for k in MATCH_KEY): r["split"] for r in splits.chronological_split(both, share).collect()}
+        for part, df in zip(("train", "test"), splits.chronological_parts(both, share)):
+            assert {tuple(r[k] for k in MATCH_KEY) for r in df.collect()} == {k for k, v in marked.items() if v == part}
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_logistic_regression_keeps_no_second_copy(spark, dataset, monkeypatch):
+    """It keeps its rows in blocks; the frame it is given is not kept as well."""
+    from pyspark import StorageLevel
+    from pyspark.ml.classification import LogisticRegression
+
+    given, own = [], LogisticRegression._fit
+    monkeypatch.setattr(LogisticRegression, "_fit", lambda self, df: given.append(df) or own(self, df))
+    fit_predict(*holdout_parts(dataset), lambda n, k: logistic_regression(n)).collect()
+    assert [df.storageLevel for df in given] == [StorageLevel.NONE]
+    assert "Exchange" not in given[0]._jdf.queryExecution().executedPlan().toString()

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitchframe.columns import FORM_MEASURES, OUTCOME_MEASURES
@@ -138,3 +139,27 @@ def test_dataset_reads_its_source_twice_at_most(make_matches, tmp_path, spark):
     assert wide.count() == 50
     assert path not in str(wide.inputFiles())
     assert seen[0]._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2 and len(seen) == 1
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_means_are_those_of_windows_and_add_no_frame_twice(spark, make_matches, batch):
+    """Groups that go on over batches, two venues, missing values; no window has a frame that slides."""
+    rows = make_matches(league(11, 80, 4, 60), HS={n: None if n % 5 == 0 else n % 7 for n in range(90)})
+    formed = with_form_measures(to_team_rows(add_table_positions(rows)))
+    measures = ["Shots", "ShotAccuracy", "Points"]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        means = rolling_means(formed, measures, keep=["match_seq", "Venue"])
+        assert "specifiedwindowframe(RowFrame, -5, -1)" not in means._jdf.queryExecution().analyzed().toString()
+        got = {(r["match_seq"], r["Venue"]): r for r in means.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    names = [c for c in means.columns if "Rolling" in c]
+    for r in formed.select("match_seq", "Venue", *[windowed(c) for c in names]).collect():
+        assert [got[r["match_seq"], r["Venue"]][c] for c in names] == [r[c] for c in names]
+
+
+def windowed(name):
+    measure, window = name.removesuffix("_all").split("_Rolling")
+    by = Window.partitionBy("div_name", "season", "Team", *([] if name.endswith("_all") else ["Venue"]))
+    return F.avg(measure).over(by.orderBy("match_no").rowsBetween(-int(window), -1)).alias(name)

@@ -12,6 +12,7 @@ from pitchframe.plans.evaluation import (
     fit_predict,
     holdout_parts,
     holdout_report,
+    parts_for,
     ranked_ends,
     settled_dataset,
     walk_forward_report,
@@ -161,3 +162,11 @@ def test_logistic_regression_keeps_no_second_copy(spark, dataset, monkeypatch):
     fit_predict(*holdout_parts(dataset), lambda n, k: logistic_regression(n)).collect()
     assert [df.storageLevel for df in given] == [StorageLevel.NONE]
     assert "Exchange" not in given[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_suit_the_model():
+    """What fits one task is trained there in a few jobs; more is dealt into parts as before."""
+    net, boosting, forest = neural_net(), boosted_trees(), random_forest()
+    assert [parts_for(net, size << 20) for size in (1, 180, 256, 257, 800)] == [1, 1, 1, 33, 100]
+    assert [parts_for(boosting, size << 20) for size in (0, 18, 180)] == [1, 1, 6]
+    assert [parts_for(forest, size << 20) for size in (0, 18, 180)] == [1, 3, 23]

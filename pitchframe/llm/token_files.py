@@ -14,15 +14,14 @@ documents prefix sums over counts.  ``first_doc`` and ``last_doc`` have Parquet
 so one document costs one block and one short frame.
 
 Whole texts go through the tokenizers library.  Its byte-level pre-tokens never join text
-across a step from black to a space or line break, so a text whose words all end in black, and
-hold no special string, is gathered from the ids of its words, and only unseen words reach
-the library (many a call, as lines); any other text reaches it whole.
+across a step from black to a space or line break, or from a Latin letter to a sign.  A text
+without special strings whose words (cut at these steps) all end in black is gathered from the ids of
+its words, and only unseen words reach the library (many a call, as lines); any other text reaches it whole.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
@@ -40,7 +39,7 @@ from pitchframe.llm.common import text_or_empty
 
 BLOCK_DOCS = 1024
 BLOCK_BYTES = 1 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 LINES = 256  # words that reach the library as one text
 PORTION = 2 << 20  # bytes of text that are split together, about
 SAMPLE_DOCS = 1_000  # documents, about, that the dictionary is trained on, each of SAMPLE_CHARS at most
@@ -54,8 +53,10 @@ DECODED = "doc_id long, file_no int, block_no int, before long, n_tokens long, i
 
 # What a line of library input begins with: nothing there joins a break and what follows it.
 LINE = "\n"
-# A word of Latin letters and the ASCII signs behind it: no pre-token holds both.
-WORD_AND_REST = re.compile(r"([ \n]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~].*)", re.DOTALL)
+# Where texts are cut into words; a text that holds it goes to the library whole.
+CUT = "\x01"
+# A Latin letter and an ASCII sign behind it: no pre-token holds both.
+SIGN_BEHIND, SIGN_APART = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!-&(-/:-@\[-`{-~])", rf"\1{CUT}\2"
 
 
 class Encoder:
@@ -71,13 +72,13 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.kind = np.dtype(f"<u{width}")
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.special = added
         (self.line_end,) = self.library.encode(LINE, add_special_tokens=False).ids
+        self.line_ids = np.array([self.line_end], dtype=self.kind).tobytes()
         self.forget()
 
     def forget(self) -> None:
         self.words: dict[str, int] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
         self.ids, self.starts, self.lengths, self.usable = Growing(), Growing(), Growing(), Growing()
 
     def encode_whole(self, texts: list[str]) -> list[bytes]:
@@ -99,20 +100,19 @@ class Encoder:
         return found
 
     def learn(self, words: list[str]) -> None:
-        """Add unseen words; one that does not end in black, or holds a special string, is of no use by itself.
-
-        Latin letters and ASCII signs behind them are never joined, so they are learned apart.
-        """
-        good = [bool(w) and not may_go_on(w[-1]) and not (self.special and self.special.search(w)) for w in words]
-        halves = [m.groups() if g and (m := WORD_AND_REST.fullmatch(w)) else (w, "") for w, g in zip(words, good)]
-        pieces = {p for both, g in zip(halves, good) if g for p in both if p not in self.pieces}
-        # A break begins a word or, after other white space, lies in it; either way it is a line of its own.
-        lined = [p for p in pieces if LINE not in p]
-        self.pieces.update(zip(lined, self.in_lines(lined)))
-        rest = [p for p in pieces if LINE in p]
-        self.pieces.update(zip(rest, self.encode_whole(rest)))
-        known = self.pieces
-        ids = [known[a] + known[b] if g else b"" for (a, b), g in zip(halves, good)]
+        """Add unseen words; one that does not end in black is of no use by itself."""
+        good = [bool(w) and not may_go_on(w[-1]) for w in words]
+        # A break before black is a pre-token of its own.
+        broken = [w.startswith(LINE) and g for w, g in zip(words, good)]
+        bare = [w[1:] if b else w for w, b in zip(words, broken)]
+        lined = [n for n, g in enumerate(good) if g and LINE not in bare[n] and not (broken[n] and may_go_on(bare[n][0]))]
+        ids = [b""] * len(words)
+        for n, raw in zip(lined, self.in_lines([bare[n] for n in lined])):
+            ids[n] = self.line_ids + raw if broken[n] else raw
+        there = set(lined)
+        rest = [n for n, g in enumerate(good) if g and n not in there]
+        for n, raw in zip(rest, self.encode_whole([words[n] for n in rest])):
+            ids[n] = raw
         lengths = np.array([len(i) for i in ids], dtype=np.int64) // self.kind.itemsize
         self.starts.extend(self.ids.size + np.cumsum(lengths) - lengths)
         self.lengths.extend(lengths)
@@ -120,12 +120,11 @@ class Encoder:
         self.ids.extend(np.frombuffer(b"".join(ids), dtype=self.kind))
         self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
 
-    def numbers(self, words: pa.Array, spaced: bool) -> np.ndarray:
-        """The numbers of words (``spaced``: with the space before them), each different one looked up once."""
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of words, each different one looked up once."""
         coded = words.dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        if spaced:
-            different = [w if w.startswith(LINE) else " " + w for w in different]
+        # By way of numpy, which makes the strings in one go.
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = [*map(self.words.get, different)]
         unseen = [w for w, n in zip(different, found) if n is None]
         if unseen:
@@ -138,13 +137,20 @@ class Encoder:
             return []
         if len(self.words) > CACHE_WORDS:
             self.forget()
-        # Words are what spaces and line breaks begin; a break stays with its word, a space goes back to it.
-        split = pc.split_pattern(pc.replace_substring(texts, LINE, " " + LINE), " ")
+        # Words are what spaces, line breaks and signs behind Latin letters begin, and keep them.
+        marked = texts
+        for before in (" ", LINE):
+            marked = pc.replace_substring(marked, before, CUT + before)
+        split = pc.split_pattern(pc.replace_substring_regex(marked, SIGN_BEHIND, SIGN_APART), CUT)
         flat, offsets = split.flatten(), split.offsets.to_numpy()
         offsets = offsets - offsets[0]
-        number = self.numbers(flat, spaced=True)
-        number[offsets[:-1]] = self.numbers(flat.take(pa.array(offsets[:-1])), spaced=False)
-        usable = np.logical_and.reduceat(self.usable.room[number].astype(bool), offsets[:-1])
+        number = self.numbers(flat)
+        # A text that begins with a space or a break has an empty word before it.
+        usable = self.usable.room[number].astype(bool)
+        usable[offsets[:-1]] |= pc.equal(flat.take(pa.array(offsets[:-1])), "").to_numpy(zero_copy_only=False)
+        usable = np.logical_and.reduceat(usable, offsets[:-1])
+        for apart in (CUT, *self.special):
+            usable &= ~pc.match_substring(texts, apart).to_numpy(zero_copy_only=False)
         lengths = self.lengths.room[number]
         before = np.cumsum(lengths) - lengths
         ids = self.ids.room[np.arange(int(lengths.sum())) + np.repeat(self.starts.room[number] - before, lengths)]

@@ -61,3 +61,18 @@ def test_empty_table(spark, make_docs):
     path = new_path(spark, "tokens")
     write_token_files(make_docs([]), path, PATH, end_id=2, vocabulary=50_257)
     assert read_token_files(spark, path).count() == 0
+
+
+def test_words_are_cut_at_signs_and_known_once():
+    """A word with ten signs behind it was ten words before, each looked up and learned in Python."""
+    words, signs = ["lorem", "über", "ñandú", "x"], [".", ",", "!?", "$$$", ").", "_a", "-b", "...", ";", ":"]
+    texts = [f"{w}{s} {w}{s}\n{w}{s}" for w in words for s in signs]
+    texts += ["don't.", "it's 'st.", "a.b.c", "é.x", "3.14,5", "\nlorem.", " lorem.", "", "a\x01.b c", "\t\tlorem. x", "a\n\n.b", "\r\na"]
+    texts += ["a<|endoftext|>b", "x.<|endoftext|>", "lorem <|endof", "a\n b.", "á\nb", "×.a ÷,", "a\n!b\n中. 中,"]
+    own = Encoder(PATH, 2)
+    assert own.encode(pa.array(texts, pa.large_string())) == own.encode_whole(texts)
+    known = len(own.words)
+    assert known < 120
+    rng = random.Random(5)
+    mixed = ["".join(rng.choice([*words, *signs, " ", " ", "\n", "'", "7", "́", "\t"]) for _ in range(30)) for _ in range(3_000)]
+    assert own.encode(pa.array(mixed, pa.large_string())) == own.encode_whole(mixed)

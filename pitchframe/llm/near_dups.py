@@ -10,10 +10,11 @@ set in a bucket has bound what a node can share: nodes that cannot be near any s
 bucket leave it.  In a bucket not all pairs
 are compared but a star: the node that shares most buckets with others against the rest.
 Links are confirmed on the full sets.  A bucket whose other nodes are then all in one
-component is done; otherwise nodes of its smaller components become the next centres, 16
-times as many each round, compared with the nodes of other components, until every pair in
-a bucket is in one component or was compared.  So the stars leave no candidate out, and no
-pair within a component is compared.
+component is done; otherwise nodes of all its components but the largest become the next
+centres, 16 times as many each round (of few components several each), compared with the
+nodes of other components, until every pair in a bucket is in one component or was compared.
+So the stars leave no candidate out, no pair within a component is compared, and the rounds
+grow with the logarithm of a bucket's nodes.
 
 With similarity 0.85, 60 bands of 10 miss a pair with probability 2e-6, and few pairs that are
 less alike meet in a bucket.
@@ -254,10 +255,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     while True:
         known = labels.join(sizes, "node")
         # At most a bucket per band in a list.
-        lies_in = members.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
-        leads = centres.groupBy("centre").agg(F.collect_list("bucket").alias("leads"))
-        named = members.select("bucket", "node").join(known, "node").join(lies_in, "node")
-        middle = centres.join(leads, "centre").withColumnRenamed("centre", "node").join(known, "node")
+        lies_in = F.collect_list("bucket").over(Window.partitionBy("node"))
+        named = members.select("bucket", "node", lies_in.alias("buckets")).join(known, "node")
+        leads = F.collect_list("bucket").over(Window.partitionBy("centre"))
+        middle = centres.select("bucket", F.col("centre").alias("node"), leads.alias("leads")).join(known, "node")
         middle = middle.select("bucket", "leads", *[F.col(c).alias(f"centre_{c}") for c in known.columns])
         # The intersection holds at most the common shingles of either set.
         most = F.least("common", "centre_common")
@@ -275,24 +276,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
         if tested is not None:
             pairs = pairs.join(tested, ["centre", "node"], "left_anti")
         pairs = settle(pairs, "pairs")
-        if tested is None or not pairs.isEmpty():
+        if not pairs.isEmpty():
             links = settle(confirmed(pairs, sets, sizes, percent), "links")
-        else:
-            links = pairs.select(F.col("centre").alias("u"), F.col("node").alias("v"))
-        merged = (
-            links.join(labels.withColumnsRenamed({"node": "u", "component": "cu"}), "u")
-            .join(labels.withColumnsRenamed({"node": "v", "component": "cv"}), "v")
-            .select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-        )
-        if not links.isEmpty():
-            moved = components(merged).select(F.col("node").alias("component"), F.col("component").alias("moved"))
-            labels = settle(
-                labels.join(moved, "component", "left").select("node", F.coalesce("moved", "component").alias("component")),
-                "labels",
+            merged = (
+                links.join(labels.withColumnsRenamed({"node": "u", "component": "cu"}), "u")
+                .join(labels.withColumnsRenamed({"node": "v", "component": "cv"}), "v")
+                .select(F.col("cu").alias("u"), F.col("cv").alias("v"))
             )
-        turned = pairs.select(F.col("node").alias("centre"), F.col("centre").alias("node"))
-        now = pairs.unionByName(turned)
-        tested = settle(now if tested is None else tested.unionByName(now), "tested")
+            if not links.isEmpty():
+                moved = components(merged).select(F.col("node").alias("component"), F.col("component").alias("moved"))
+                labels = settle(
+                    labels.join(moved, "component", "left").select("node", F.coalesce("moved", "component").alias("component")),
+                    "labels",
+                )
+            turned = pairs.select(F.col("node").alias("centre"), F.col("centre").alias("node"))
+            now = pairs.unionByName(turned)
+            tested = settle(now if tested is None else tested.unionByName(now), "tested")
         members = members.select("bucket", "node").join(
             centres.withColumnRenamed("centre", "node"), ["bucket", "node"], "left_anti"
         )
@@ -303,14 +302,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
         if members.isEmpty():
             break
         width *= 16
-        smallest = F.row_number().over(Window.partitionBy("bucket").orderBy("n", "component"))
-        chosen = split.join(mixed_buckets, "bucket").withColumn("place", smallest).where(F.col("place") <= width)
+        in_bucket = Window.partitionBy("bucket")
+        smallest = F.row_number().over(in_bucket.orderBy("n", "component"))
+        others = F.count("*").over(in_bucket) - 1
+        # The largest component's nodes are compared as the others' partners.
+        chosen = (
+            split.withColumn("place", smallest)
+            .withColumn("others", others)
+            .where((F.col("place") <= F.col("others")) & (F.col("place") <= width))
+            .select("bucket", "component", F.ceil(F.lit(width) / F.col("others")).alias("most"))
+        )
+        turn = F.row_number().over(Window.partitionBy("bucket", "component").orderBy("node"))
         centres = settle(
             members.join(labels, "node")
-            .join(chosen.select("bucket", "component"), ["bucket", "component"])
-            .groupBy("bucket", "component")
-            .agg(F.min("node").alias("centre"))
-            .select("bucket", "centre"),
+            .join(chosen, ["bucket", "component"])
+            .withColumn("turn", turn)
+            .where((F.col("turn") <= F.col("most")) & (F.col("turn") <= width))
+            .select("bucket", F.col("node").alias("centre")),
             "centres",
         )
     return _named(drawn, labels)

@@ -90,3 +90,24 @@ def test_rows_without_ids_meet_their_own_text_only(make_docs, prose, monkeypatch
     found = near_duplicates(make_docs([(None, t) for t in texts])).collect()
     assert len(found) == 400 and all(r["component_id"] is None for r in found)
     assert seen[0].count() == len(set(texts))
+
+
+def test_two_groups_in_one_bucket_take_few_rounds(make_docs, prose, monkeypatch):
+    """Groups of many nodes that meet in buckets and have no link between them."""
+    rng, kinds = random.Random(9), []
+    base = prose(77, 200).split(" ")
+    for g in range(2):
+        kinds.append(" ".join(base[:40] + [f"group{g}x{i}" for i in range(40)] + base[80:]))
+    rows = [(g * 100 + k, edited(kinds[g], rng, 1)) for g in range(2) for k in range(30)]
+    rounds = []
+    inner = near_dups.settle
+
+    def counted(df, name, path=None):
+        rounds.append(name)
+        assert rounds.count("pairs") <= 5
+        return inner(df, name, path)
+
+    monkeypatch.setattr(near_dups, "settle", counted)
+    got = near_duplicates(make_docs(rows), percent=85, rows=4).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 85)
+    assert rounds.count("pairs") > 1

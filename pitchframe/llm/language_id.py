@@ -101,15 +101,21 @@ def train(
 
 
 class Backoff:
-    """The model in a Python worker."""
+    """The model: of each length the items' places in a table of scores by language.
+
+    It is broadcast as it is, so that a worker holds one copy for all tasks.
+    """
 
     def __init__(self, rows: list[tuple[str, int, str, float]]):
         self.langs = sorted({r[0] for r in rows})
         column = {lang: n for n, lang in enumerate(self.langs)}
-        self.lists: dict[int, dict[str, np.ndarray]] = {}
+        self.lists: dict[int, dict[str, int]] = {}
+        for _, length, item, _ in rows:
+            own = self.lists.setdefault(length, {})
+            own.setdefault(item, len(own))
+        self.tables = {length: np.full((len(own), len(self.langs)), PENALTY) for length, own in self.lists.items()}
         for lang, length, item, score in rows:
-            own = self.lists.setdefault(length, {}).setdefault(item, np.full(len(self.langs), PENALTY))
-            own[column[lang]] = min(score, PENALTY)
+            self.tables[length][self.lists[length][item], column[lang]] = min(score, PENALTY)
         sizes = np.zeros((max(LENGTHS) + 1, len(self.langs)), dtype=np.int64)
         rarest = np.zeros(sizes.shape)
         for lang, length, _, score in rows:
@@ -125,15 +131,20 @@ class Backoff:
         # Shares known of a word, by language; NaN where nobody asked yet.
         self.told = np.full((1024, len(self.langs)), np.nan)
 
+    def listed(self, length: int, items: list[str]) -> np.ndarray:
+        """The scores (item x language) of those ``items`` that any language lists."""
+        places = [*map(self.lists.get(length, {}).get, items)]
+        there = [p for p in places if p is not None]
+        return self.tables[length][there] if there else np.zeros((0, len(self.langs)))
+
     def known(self, word: str) -> np.ndarray:
         """By language 1 if it knows the word, else the share of its n-grams that it knows."""
         padded = f" {word} "
         length = min(TELLING, len(padded))
-        listed, grams = self.lists.get(length, {}), len(padded) - length + 1
-        found = [listed.get(padded[i : i + length]) for i in range(grams)]
-        shares = sum(((f < self.below[length]) for f in found if f is not None), np.zeros(len(self.langs))) / grams
-        whole = self.lists.get(0, {}).get(word)
-        return shares if whole is None else np.where(whole < self.below[0], 1.0, shares)
+        grams = [padded[i : i + length] for i in range(len(padded) - length + 1)]
+        shares = (self.listed(length, grams) < self.below[length]).sum(axis=0) / len(grams)
+        whole = self.listed(0, [word])
+        return np.where(whole[0] < self.below[0], 1.0, shares) if len(whole) else shares
 
     def judge(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, known) of a text."""
@@ -148,16 +159,15 @@ class Backoff:
         return lang, score, float(self.told[rows, at].mean())
 
     def score(self, word: str) -> np.ndarray:
-        known = self.lists.get(0, {}).get(word)
-        if known is not None:
-            return known
+        known = self.listed(0, [word])
+        if len(known):
+            return known[0]
         padded = f" {word} "
         for length in sorted(self.lists, reverse=True):
-            listed = self.lists[length]
             if length:
-                found = [listed.get(padded[i : i + length]) for i in range(len(padded) - length + 1)]
-                if any(f is not None for f in found):
-                    return np.mean([f for f in found if f is not None], axis=0)
+                found = self.listed(length, [padded[i : i + length] for i in range(len(padded) - length + 1)])
+                if len(found):
+                    return found.mean(axis=0)
         return np.full(len(self.langs), PENALTY)
 
     def row(self, word: str) -> int:
@@ -193,22 +203,25 @@ def predict(docs: DataFrame, model: list[tuple[str, int, str, float]], keep: lis
     A null text, or one without letters, is ``und`` with score 0, and so is every text if
     nothing was learned; level languages go to the first by code point.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(Backoff(model))
     judge = Backoff.judge if with_known else Backoff.predict
     names = ["lang_pred", "score", "known"][: 2 + with_known]
     types = [pa.string(), pa.float64(), pa.float64()][: 2 + with_known]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Backoff(shared.value)
+        own = shared.value
         for batch in batches:
-            found = [judge(own, t.as_py()) for t in batch.column("_text")]
+            found = [judge(own, t.as_py()) for t in batch.column(source)]
             columns = [batch.column(k) for k in keep]
             columns += [pa.array([f[n] for f in found], kind) for n, kind in enumerate(types)]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
-        # Workers live on after a step: what Arrow keeps for later use goes back.
+        # Workers live on after a step: remembered words and what Arrow keeps for later use go back.
+        own.forget()
         pa.default_memory_pool().release_unused()
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    # Where the text is kept as it is, it goes to the workers once.
+    source = "text" if "text" in keep and docs.schema["text"].dataType.simpleString() == "string" else "_text"
+    rows = docs.select(*keep, *([F.col("text").cast("string").alias("_text")] if source == "_text" else []))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]
     return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", *[f"{n} double" for n in names[1:]]]))
 

@@ -47,3 +47,10 @@ def test_the_model_is_bounded(make_docs, prose):
     model = train(learnable(make_docs(labelled(prose))), sample_docs=20, words=10, ngrams=4)
     assert 0 < len(model) <= 3 * (10 + 4 * 5)
     assert predict(make_docs([(1, "kalomi")]), model, ["doc_id"]).first()["lang_pred"] == "xx"
+
+
+def test_a_model_holds_a_table_for_each_length():
+    rows = [("a", 0, "cat", 1.0), ("b", 0, "cat", 2.0), ("b", 0, "dog", 9.0), ("b", 4, " dog", 0.5)]
+    model = Backoff(rows)
+    assert {n: t.tolist() for n, t in model.tables.items()} == {0: [[1.0, 2.0], [7.0, 7.0]], 4: [[7.0, 0.5]]}
+    assert model.known("cat").tolist() == [1.0, 1.0] and model.known("dog").tolist() == [0.0, 0.5]
